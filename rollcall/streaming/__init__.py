@@ -1,0 +1,4 @@
+"""Left empty on purpose.
+
+Survey exports are read once, as batches; no operator here watches a stream.
+"""
