@@ -30,17 +30,26 @@ def listing(spark: SparkSession, path: str, recursive: bool = False) -> DataFram
 
 
 def _expand(spark: SparkSession, item: str, pattern: str, recursive: bool) -> list[str]:
+    is_glob = any(c in item for c in "*?[{")
     try:
-        found = sorted(plain_path(r.path) for r in listing(spark, item, recursive).collect())
+        found = listing(spark, item, recursive and not is_glob).collect()
     except AnalysisException:
         return []
+    paths = sorted(plain_path(r.path) for r in found)
     base = plain_path(item).rstrip("/")
-    is_glob = any(c in item for c in "*?[{")
-    if not is_glob and found != [base]:
-        if not recursive:
-            found = [p for p in found if p.rsplit("/", 1)[0].endswith(base)]
-        return [p for p in found if fnmatch.fnmatchcase(p.rsplit("/", 1)[1], pattern)]
-    return [p for p in found if p.lower().endswith(CSV_SUFFIX)]
+    if is_glob or paths == [base]:
+        # Directories that the glob matches are listed too; their files lie deeper.
+        return [p for p in paths if p.lower().endswith(CSV_SUFFIX) and _same_depth(p, base)]
+    if not recursive:
+        paths = [p for p in paths if p.rsplit("/", 1)[0].endswith(base)]
+    return [p for p in paths if fnmatch.fnmatchcase(p.rsplit("/", 1)[1], pattern)]
+
+
+def _same_depth(path: str, glob: str) -> bool:
+    parts, wanted = path.split("/"), glob.removeprefix("./").split("/")
+    if glob.startswith("/") or ":" in wanted[0]:
+        return len(parts) == len(wanted)
+    return all(map(fnmatch.fnmatchcase, parts[-len(wanted) :], wanted))
 
 
 def discover(
