@@ -22,32 +22,28 @@ SHORT_PATTERN = "MMM d"
 MONTH_PATTERN = "MMM"
 WEEKDAY_PATTERN = "EEEE"
 
-# Shapes of free-form date text that are read, each with its parse pattern (None:
-# Spark's own ISO reading). Text of any other shape has no day. The shapes keep
-# time-only text and bare numbers out, which Spark would turn into odd dates.
-DATE_SHAPES: tuple[tuple[str, str | None], ...] = (
-    (
-        r"^\d{4}(-\d{1,2}(-\d{1,2}([T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?"
-        r"(Z|[+-]\d{2}:?\d{2})?)?)?)?$",
-        None,
-    ),
-    (r"^\d{1,2}/\d{1,2}/\d{4}( \d{1,2}:\d{2}(:\d{2})?)?$", "M/d/yyyy[ H:mm[:ss]]"),
-    (r"^[A-Z][a-z]{2} \d{1,2},? \d{4}( \d{1,2}:\d{2}(:\d{2})?)?$", "MMM d[,] yyyy[ H:mm[:ss]]"),
-    (r"^[A-Z][a-z]{3,} \d{1,2},? \d{4}( \d{1,2}:\d{2}(:\d{2})?)?$", "MMMM d[,] yyyy[ H:mm[:ss]]"),
-    (r"^\d{1,2} [A-Z][a-z]{2} \d{4}( \d{1,2}:\d{2}(:\d{2})?)?$", "d MMM yyyy[ H:mm[:ss]]"),
+# Shapes of free-form date text that are read; text of any other shape has no day.
+# They keep time-only text and bare numbers out, which Spark turns into odd dates.
+TIME = r"\d{1,2}:\d{2}(:\d{2})?"
+ISO_SHAPE = (
+    r"^\d{4}(-\d{1,2}(-\d{1,2}([T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?)?)?$"
 )
+OTHER_SHAPE = (
+    r"^(\d{1,2}/\d{1,2}/\d{4}|[A-Z][a-z]{2,} \d{1,2},? \d{4}|\d{1,2} [A-Z][a-z]{2} \d{4})"
+    rf"( {TIME})?$"
+)
+# One pattern with a section for each of the other shapes.
+OTHER_PATTERN = "[M/d/yyyy][MMM d[,] yyyy][MMMM d[,] yyyy][d MMM yyyy][ H:mm[:ss]]"
 WEEKDAY_PREFIX = r"^(Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*,? "
 
 
 def parse_instant(column: Column) -> Column:
     """Free-form date text as a timestamp; null if its shape is not known."""
-    text = F.regexp_replace(ws_trim(column), WEEKDAY_PREFIX, "")
-    instant = None
-    for shape, pattern in DATE_SHAPES:
-        value = F.try_to_timestamp(text, F.lit(pattern)) if pattern else F.try_to_timestamp(text)
-        case = (instant if instant is not None else F).when(text.rlike(shape), value)
-        instant = case
-    return instant
+    text = ws_trim(column)
+    bare = F.regexp_replace(text, WEEKDAY_PREFIX, "")
+    return F.when(text.rlike(ISO_SHAPE), F.try_to_timestamp(text)).when(
+        bare.rlike(OTHER_SHAPE), F.try_to_timestamp(bare, F.lit(OTHER_PATTERN))
+    )
 
 
 def iso_day(column: Column) -> Column:

@@ -11,14 +11,22 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollcall.columns import DEFAULT_COLUMNS, SurveyColumns, col, order_names, order_value
+from rollcall.columns import (
+    AUDIO_KINDS,
+    DEFAULT_COLUMNS,
+    END_TIME,
+    SurveyColumns,
+    col,
+    order_names,
+    order_value,
+)
 from rollcall.functions.dates import answer_time, day_range, event_day, incentive_time, is_day_text
 from rollcall.functions.numbers import integer_id
 from rollcall.operators.dedup import first_per_key
-from rollcall.operators.rows import audio_rows, end_time_rows, incentive_rows, valid_days
+from rollcall.operators.rows import audio_rows, end_time_rows, incentive_rows
 
 PID = "ParticipantID"
 
@@ -27,16 +35,24 @@ MAX_DAY_COLUMNS = 10_000
 
 
 def _daily(
-    rows: DataFrame, time: Column, cols: SurveyColumns, policy: str, order_by: Sequence[str] | None
+    rows: DataFrame,
+    time: Column,
+    cols: SurveyColumns,
+    policy: str,
+    order_by: Sequence[str] | None,
+    *by: Column,
 ) -> DataFrame:
     order = order_names(order_by) if order_by else []
     days = rows.select(
-        col(cols.participant).alias(PID), event_day(time, policy).alias("day"), *[col(c) for c in order]
+        *by, col(cols.participant).alias(PID), event_day(time, policy).alias("day"), *[col(c) for c in order]
     )
-    counts = [F.count(F.lit(1)).alias("n")]
+    keys = days.columns[: len(by) + 2]
+    counts = [F.count("day").alias("n")]
     if order:
         counts.append(F.min(order_value(order)).alias("first_ord"))
-    return valid_days(days).groupBy(PID, "day").agg(*counts)
+    # Rows without a day end up in groups of count 0. A filter on the day itself
+    # would be pushed to the rows and work every day out twice.
+    return days.groupBy(*keys).agg(*counts).filter(col("n") > 0)
 
 
 def daily_entries(
@@ -63,6 +79,19 @@ def daily_audio(
     return _daily(audio_rows(df, cols), answer_time(cols), cols, policy, order_by)
 
 
+def daily_series(
+    df: DataFrame,
+    cols: SurveyColumns = DEFAULT_COLUMNS,
+    policy: str = "text",
+    order_by: Sequence[str] | None = None,
+) -> DataFrame:
+    """Both kinds of counts from one pass over the rows, told apart by ``audio``."""
+    audio = col(cols.kind).isin(*AUDIO_KINDS)
+    rows = df.filter((col(cols.kind) == END_TIME) | audio)
+    time = F.when(audio, answer_time(cols)).otherwise(col(cols.response))
+    return _daily(rows, time, cols, policy, order_by, audio.alias("audio"))
+
+
 def _totals(daily: DataFrame, total: str) -> DataFrame:
     sums = [F.sum("n").alias(total)]
     if "first_ord" in daily.columns:
@@ -111,32 +140,49 @@ def with_incentive(totals: DataFrame, incentive: DataFrame) -> DataFrame:
     return totals.join(incentive, PID, "left")
 
 
-def _day_cells(daily: DataFrame, day_names: Sequence[str]) -> DataFrame:
-    """One row per participant with a count per day, null where there is none.
+def _cells(daily: DataFrame, day_names: Sequence[str], total: str | None = None) -> DataFrame:
+    """One row per participant: its total, if named, and a count per day or null.
 
     Rows move to their participant while still narrow. A pivot straight on the
     (participant, day) partitioning would shuffle one all-days-wide row per pair.
+    The total is a window over the same partitioning, at most one row per day.
     """
-    cells = daily.filter(col("day").isin(*day_names)) if day_names else daily.limit(0)
-    moved = cells.select(PID, "day", "n").repartition(col(PID))
-    return moved.groupBy(PID).pivot("day", list(day_names)).agg(F.sum("n"))
+    keys = [PID]
+    moved = daily.repartition(col(PID))
+    if total is not None:
+        own = Window.partitionBy(PID)
+        sums = {total: F.sum("n").over(own)}
+        if "first_ord" in daily.columns:
+            sums["first_ord"] = F.min("first_ord").over(own)
+        moved, keys = moved.withColumns(sums), [PID, *sums]
+    if not day_names:
+        return moved.select(*keys).distinct()
+    cells = moved.groupBy(*keys).pivot("day", list(day_names)).agg(F.sum("n"))
+    counts = [F.coalesce(col(d), F.lit(0)).alias(d) for d in day_names]
+    return cells.select(*keys, *counts)
 
 
-def _wide(totals: DataFrame, daily: DataFrame, day_names: Sequence[str]) -> DataFrame:
-    if not day_names:
-        return totals
-    joined = totals.join(_day_cells(daily, day_names), PID, "left")
-    kept = [col(c) for c in totals.columns]
-    return joined.select(*kept, *[F.coalesce(col(d), F.lit(0)).alias(d) for d in day_names])
+def _wide(
+    daily: DataFrame, totals: DataFrame | None, day_names: Sequence[str], total: str
+) -> DataFrame:
+    """Totals with a count per day; totals not given are those of the counts."""
+    if totals is None:
+        return _cells(daily, day_names, total)
+    joined = totals.join(_cells(daily, day_names), PID, "left")
+    return joined.na.fill(0, list(day_names)) if day_names else joined
 
 
-def zero_fill(totals: DataFrame, daily: DataFrame, day_names: Sequence[str]) -> DataFrame:
+def zero_fill(
+    totals: DataFrame | None, daily: DataFrame, day_names: Sequence[str]
+) -> DataFrame:
     """Every participant with every day: the count, or 0.
 
     The zeros come from unpivoting one row per participant inside its task, so
-    they are never joined for nor shuffled.
+    they are never joined for nor shuffled. ``totals`` names the participants, if
+    they are not just those of the counts.
     """
-    wide = _wide(totals.select(PID), daily, day_names)
+    people = None if totals is None else totals.select(PID)
+    wide = _wide(daily, people, day_names, "total")
     if not day_names:
         return wide.select(PID, F.lit("").alias("day"), F.lit(0).cast("bigint").alias("n")).limit(0)
     return wide.unpivot([col(PID)], [col(d) for d in day_names], "day", "n")
@@ -156,26 +202,34 @@ def _finish(wide: DataFrame, sort: bool) -> DataFrame:
 
 def summary_wide(
     daily: DataFrame,
-    totals: DataFrame,
+    totals: DataFrame | None,
     incentive: DataFrame | None,
     day_names: Sequence[str],
     sort: bool = False,
 ) -> DataFrame:
-    """Participant, total, latest incentive, then a count per day."""
+    """Participant, total, latest incentive, then a count per day.
+
+    Give ``totals`` to report other participants or totals than those of the
+    counts; without them one pass over the counts yields everything.
+    """
+    wide = _wide(daily, totals, day_names, "TotalEntries")
     if incentive is None:
-        totals = totals.withColumn("Incentive", F.lit(None).cast("string"))
+        wide = wide.withColumn("Incentive", F.lit(None).cast("string"))
     else:
-        totals = with_incentive(totals, incentive)
+        wide = with_incentive(wide, incentive)
     head = [PID, "TotalEntries", "Incentive"]
-    rest = [c for c in totals.columns if c not in head]
-    return _finish(_wide(totals.select(*head, *rest), daily, day_names), sort)
+    rest = [c for c in wide.columns if c not in head]
+    return _finish(wide.select(*head, *[col(c) for c in rest]), sort)
 
 
 def audio_wide(
-    audio_daily: DataFrame, audio_totals: DataFrame, day_names: Sequence[str], sort: bool = False
+    audio_daily: DataFrame,
+    audio_totals: DataFrame | None,
+    day_names: Sequence[str],
+    sort: bool = False,
 ) -> DataFrame:
     """Audio twin; its day columns are the days of the ``end_time`` entries."""
-    return _finish(_wide(audio_totals, audio_daily, day_names), sort)
+    return _finish(_wide(audio_daily, audio_totals, day_names, "TotalTextAudio"), sort)
 
 
 def summary_30day(
@@ -187,7 +241,7 @@ def summary_30day(
 ) -> DataFrame:
     """Totals over all time with a count for each of the 30 days ending at the anchor."""
     daily = daily_entries(df, cols, "utc", order_by)
-    return _finish(_wide(total_entries(daily), daily, day_range(anchor, n)), bool(order_by))
+    return _finish(_wide(daily, None, day_range(anchor, n), "TotalEntries"), bool(order_by))
 
 
 def audio_30day(
@@ -198,4 +252,4 @@ def audio_30day(
     n: int = 30,
 ) -> DataFrame:
     daily = daily_audio(df, cols, "utc", order_by)
-    return _finish(_wide(total_audio(daily), daily, day_range(anchor, n)), bool(order_by))
+    return _finish(_wide(daily, None, day_range(anchor, n), "TotalTextAudio"), bool(order_by))

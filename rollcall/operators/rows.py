@@ -38,7 +38,7 @@ def audio_rows(df: DataFrame, cols: SurveyColumns = DEFAULT_COLUMNS) -> DataFram
 
 def valid_days(df: DataFrame, day_col: str = "day") -> DataFrame:
     """Rows that have a day at all, well formed or not."""
-    return df.filter(col(day_col).isNotNull() & (col(day_col) != ""))
+    return df.filter(col(day_col) != "")
 
 
 def with_reference(df: DataFrame, cols: SurveyColumns = DEFAULT_COLUMNS) -> DataFrame:

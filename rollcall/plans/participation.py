@@ -12,14 +12,16 @@ from rollcall.columns import DEFAULT_COLUMNS, ORD, SurveyColumns
 from rollcall.operators import participation as p
 from rollcall.operators import ranges, stats
 from rollcall.operators.rows import end_time_rows
+from rollcall.session import once
 
 
 @dataclass(frozen=True)
 class Participation:
-    """Every result of the analysis, each a lazy frame.
+    """Every result of the analysis.
 
-    The counts are aggregates of the survey. Persist ``survey`` (only its few
-    columns) first if the source is CSV and several results are wanted.
+    The counts per participant and day are made by one pass over the survey, when
+    the first result is asked for, and kept: all other results are small work on
+    them. The latest incentives are the one other pass.
     """
 
     survey: DataFrame
@@ -27,9 +29,13 @@ class Participation:
     cols: SurveyColumns = DEFAULT_COLUMNS
     policy: str = "text"
 
+    @cached_property
+    def _series(self) -> DataFrame:
+        return once(p.daily_series(self.survey, self.cols, self.policy, self.order_by))
+
     @cached_property
     def daily(self) -> DataFrame:
-        return p.daily_entries(self.survey, self.cols, self.policy, self.order_by)
+        return self._series.filter("not audio").drop("audio")
 
     @cached_property
     def totals(self) -> DataFrame:
@@ -42,7 +48,9 @@ class Participation:
     @cached_property
     def audio_daily(self) -> DataFrame:
         """Audio counts; none at all when the survey has no ``end_time`` row."""
-        audio = p.daily_audio(self.survey, self.cols, self.policy, self.order_by)
+        audio = self._series.filter("audio").drop("audio")
+        if self.day_names:
+            return audio
         return audio.filter(end_time_rows(self.survey, self.cols).exists())
 
     @cached_property
@@ -54,10 +62,10 @@ class Participation:
         return p.day_list(self.daily)
 
     def summary(self) -> DataFrame:
-        return p.summary_wide(self.daily, self.totals, self.incentive, self.day_names, sort=True)
+        return p.summary_wide(self.daily, None, self.incentive, self.day_names, sort=True)
 
     def audio(self) -> DataFrame:
-        return p.audio_wide(self.audio_daily, self.audio_totals, self.day_names, sort=True)
+        return p.audio_wide(self.audio_daily, None, self.day_names, sort=True)
 
     def stats(self) -> DataFrame:
         return stats.participation_stats(self.daily, self.totals)

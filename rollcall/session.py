@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings the results rely on (zone, case of names) or that keep skewed joins
 #: and partition sizes in hand. Cluster size and memory are left to the cluster.
@@ -38,3 +38,15 @@ def scratch_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return tempfile.mkdtemp(prefix="rollcall-")
+
+
+def once(df: DataFrame) -> DataFrame:
+    """Compute a frame now, for several results to start from.
+
+    The rows are written to the shared checkpoint folder, so a lost executor does
+    not bring the work back. Meant for aggregates, which are small beside their source.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(scratch_dir(df.sparkSession))
+    return df.checkpoint()
