@@ -81,7 +81,7 @@ def lim_groups(spark, sf_dir):
     " count(*) FILTER (rn > 1) AS rows_removed, count(*) FILTER (rn = 1) AS rows_after FROM marked"
 )
 def stats_cleaning(spark, sf_dir):
-    return c.cleaning_stats(survey(spark, sf_dir))
+    return c.cleaning_stats(survey(spark, sf_dir), order_by=ORDER)
 
 
 @query(with_(SURVEY, MARKED) + "SELECT * EXCLUDE (rn, n, first_ord) FROM marked WHERE rn = 1")

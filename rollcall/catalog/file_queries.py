@@ -223,7 +223,7 @@ def _report_sql(base: str, totals: str, total: str, daily: str) -> str:
 
 @query(_report_sql(BASE, "totals", "TotalEntries", "daily"))
 def sink_participation_report(spark, sf_dir):
-    done, path = _analysis(spark, sf_dir), scratch_dir(spark) + "/report"
+    done, path = _analysis(spark, sf_dir, with_audio=True), scratch_dir(spark) + "/report"
     sinks.write_report(done.summary(), done.audio(), path)
     return csv.read_csv(spark, path + "/summary")
 

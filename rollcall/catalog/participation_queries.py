@@ -30,8 +30,8 @@ BASE = with_(SURVEY, DAILY, TOTALS)
 AUDIO = with_(SURVEY, DAILY, AUDIO_DAILY, AUDIO_TOTALS)
 
 
-def _analysis(spark, sf_dir) -> Participation:
-    return Participation(survey(spark, sf_dir), order_by=ORDER)
+def _analysis(spark, sf_dir, with_audio: bool = False) -> Participation:
+    return Participation(survey(spark, sf_dir), order_by=ORDER, with_audio=with_audio)
 
 
 def _daily(spark, sf_dir) -> DataFrame:
@@ -120,7 +120,7 @@ def join_zero_fill(spark, sf_dir):
     " LEFT JOIN audio_daily a ON a.ParticipantID = t.ParticipantID AND a.day = d.day"
 )
 def join_zero_fill_audio(spark, sf_dir):
-    done = _analysis(spark, sf_dir)
+    done = _analysis(spark, sf_dir, with_audio=True)
     return p.zero_fill(None, done.audio_daily, done.day_names)
 
 
@@ -148,7 +148,7 @@ AUDIO_WIDE = (
 
 @query(AUDIO_WIDE)
 def agg_audio_wide(spark, sf_dir):
-    return _analysis(spark, sf_dir).audio()
+    return _analysis(spark, sf_dir, with_audio=True).audio()
 
 
 @query(
@@ -285,7 +285,7 @@ def flt_summary_range(spark, sf_dir):
     f" WHERE {_since(7)} AND day IN (SELECT day FROM daily)"
 )
 def flt_audio_range(spark, sf_dir):
-    return _analysis(spark, sf_dir).audio_view(7)
+    return _analysis(spark, sf_dir, with_audio=True).audio_view(7)
 
 
 @query(

@@ -24,10 +24,10 @@ def round_half_up2(column: Column) -> Column:
     return F.floor(column.cast("double") * 100 + 0.5) / F.lit(100.0)
 
 
-def integer_id(column: Column) -> Column:
-    """The id as a number if it is written as a plain whole number, else null."""
-    value = F.when(column.rlike(INTEGER_ID), column.try_cast("bigint"))
-    return F.when(value <= MAX_INTEGER_ID, value)
+def id_rank(column: Column) -> Column:
+    """Sort value of an id: its number if it is a plain whole number, else above all of those."""
+    number = F.when(column.rlike(INTEGER_ID), column.cast("bigint"))
+    return F.least(number, F.lit(MAX_INTEGER_ID + 1))
 
 
 def size_label(size: Column) -> Column:

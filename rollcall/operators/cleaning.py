@@ -1,7 +1,11 @@
 """Repeats left by upload retries: same prompt, participant and answer time.
 
-Rows with a blank key are never repeats. They are split off before any shuffle,
-so the blank key, which may be the largest of all, is no group at all.
+Repeats are rare beside the answers, so they are found first, on the keys alone:
+a pass that shuffles one number per key. The wide rows then meet a small table of
+repeated keys and are not shuffled, unless that table turns out not to be small.
+
+Rows with a blank key are never repeats and take no part in any of this, so the
+blank key, which may be the largest of all, is no group.
 """
 
 from __future__ import annotations
@@ -14,7 +18,9 @@ from pyspark.sql import functions as F
 from rollcall.columns import DEFAULT_COLUMNS, ORD, col, order_names, order_value, require_columns
 from rollcall.functions.text import has_blank_key, is_blank_word
 from rollcall.operators.dedup import first_per_key
+from rollcall.operators.joins import fits_broadcast, join_small
 from rollcall.operators.sets import union_rows
+from rollcall.session import once
 
 KEYS = DEFAULT_COLUMNS.cleaning_keys
 KEPT = "Kept (earliest)"
@@ -31,60 +37,74 @@ def _collated(date_col: str) -> Column:
     return F.collate(F.coalesce(col(date_col), F.lit("")), "UNICODE")
 
 
-def clean(
-    df: DataFrame,
-    keys: Sequence[str] = KEYS,
-    date_col: str = DEFAULT_COLUMNS.date,
-    order_by: Sequence[str] = ORD,
-    require_date: bool = False,
+def _repeated(
+    df: DataFrame, keys: Sequence[str], date_col: str, order: Sequence[str], require_date: bool
 ) -> DataFrame:
-    """The earliest upload of each key, and every row with a blank key.
+    """Per key with more than one row: its size, upload times, first place and kept place.
 
-    ``require_date`` also exempts rows without an upload time; otherwise such a
-    row counts as the earliest.
+    A hash of the keys is counted first. Keys that share a hash by chance are told
+    apart by the second step, which groups the few rows left by the keys themselves.
     """
     require_columns(df, [*keys, date_col])
-    exempt = _exempt(keys, date_col, require_date)
-    order = [_collated(date_col), *[col(c) for c in order_names(order_by)]]
-    earliest = first_per_key(df.filter(~exempt), [col(k) for k in keys], order)
-    return union_rows(df.filter(exempt), earliest)
-
-
-def _repeated(
-    df: DataFrame, keys: Sequence[str], date_col: str, order: Sequence[str], require_date: bool
-) -> DataFrame:
-    """Per key with more than one row: its size, first place and kept row."""
+    rows = df.filter(~_exempt(keys, date_col, require_date)).select(
+        *[col(k) for k in dict.fromkeys([*keys, date_col, *order])],
+        F.xxhash64(*[col(k) for k in keys]).alias("__hash"),
+    )
+    hashes = rows.groupBy("__hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__hash")
     place = order_value(order)
-    return (
-        df.filter(~_exempt(keys, date_col, require_date))
+    groups = (
+        join_small(rows, once(hashes), ["__hash"], "left_semi")
         .groupBy(*[col(k) for k in keys])
         .agg(
             F.count(F.lit(1)).alias("__n"),
+            F.count_distinct(F.coalesce(col(date_col), F.lit(""))).alias("__dates"),
             F.min(place).alias("__first"),
             F.min_by(place, F.struct(_collated(date_col), place)).alias("__keep"),
         )
         .filter(col("__n") > 1)
     )
+    return once(groups)
+
+
+def clean(
+    df: DataFrame,
+    keys: Sequence[str] = KEYS,
+    date_col: str = DEFAULT_COLUMNS.date,
+    order_by: Sequence[str] = ORD,
+    require_date: bool = False,
+) -> DataFrame:
+    """The earliest upload of each key, and every row with a blank key.
+
+    ``require_date`` also exempts rows without an upload time; otherwise such a
+    row counts as the earliest.
+    """
+    order = order_names(order_by)
+    groups = _repeated(df, keys, date_col, order, require_date).select(*[col(k) for k in keys], "__keep")
+    exempt = _exempt(keys, date_col, require_date)
+    if not fits_broadcast(groups):
+        # Many repeats: one row per key and task is left before the shuffle.
+        sort = [_collated(date_col), *[col(c) for c in order]]
+        earliest = first_per_key(df.filter(~exempt), [col(k) for k in keys], sort)
+        return union_rows(df.filter(exempt), earliest)
+    met = df.join(F.broadcast(groups), list(keys), "left")
+    kept = col("__keep").isNull() | (col("__keep") == order_value(order))
+    if require_date:
+        kept = kept | is_blank_word(col(date_col))
+    return met.filter(kept).select(*[col(c) for c in df.columns])
 
 
 def _members(
     df: DataFrame,
+    groups: DataFrame,
     keys: Sequence[str],
     date_col: str,
-    order_by: Sequence[str],
+    order: Sequence[str],
     require_date: bool,
-    groups: int | None = None,
 ) -> DataFrame:
-    # A join with the merged groups, not a window over their rows: a window needs
-    # all rows of a group in one task, while a skewed join is split at run time.
-    order = order_names(order_by)
-    require_columns(df, [*keys, date_col])
-    repeated = _repeated(df, keys, date_col, order, require_date)
-    if groups is not None:
-        repeated = repeated.orderBy("__first").limit(groups)
     rows = df.filter(~_exempt(keys, date_col, require_date))
     kept = order_value(order) == col("__keep")
-    joined = rows.join(repeated, list(keys)).withColumn(
+    small = groups.select(*[col(k) for k in keys], "__keep", "__first")
+    joined = join_small(rows, small, keys).withColumn(
         "Status", F.when(kept, KEPT).otherwise(REMOVED)
     )
     return joined.select("Status", *[col(c) for c in df.columns], "__first")
@@ -98,7 +118,9 @@ def clean_removed(
     require_date: bool = False,
 ) -> DataFrame:
     """The rows that ``clean`` leaves out."""
-    members = _members(df, keys, date_col, order_by, require_date)
+    order = order_names(order_by)
+    groups = _repeated(df, keys, date_col, order, require_date)
+    members = _members(df, groups, keys, date_col, order, require_date)
     return members.filter(col("Status") == REMOVED).drop("Status", "__first")
 
 
@@ -114,8 +136,12 @@ def clean_review(
 
     ``groups`` limits the report to the groups that come first.
     """
-    members = _members(df, keys, date_col, order_by, require_date, groups)
-    place = [col("__first"), col("Status"), _collated(date_col), *[col(c) for c in order_names(order_by)]]
+    order = order_names(order_by)
+    shown = _repeated(df, keys, date_col, order, require_date)
+    if groups is not None:
+        shown = shown.orderBy("__first").limit(groups)
+    members = _members(df, shown, keys, date_col, order, require_date)
+    place = [col("__first"), col("Status"), _collated(date_col), *[col(c) for c in order]]
     return members.orderBy(*place).drop("__first")
 
 
@@ -131,16 +157,11 @@ def duplicate_groups(
 
     ``limit`` keeps the groups that come first (a report of a few groups).
     """
-    require_columns(df, [*keys, date_col])
-    groups = (
-        df.filter(~_exempt(keys, date_col, require_date))
-        .groupBy(*[col(k) for k in keys])
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count_distinct(F.coalesce(col(date_col), F.lit(""))).alias("n_distinct_dates"),
-            F.min(order_value(order_names(order_by))).alias("first_ord"),
-        )
-        .filter(col("n") > 1)
+    groups = _repeated(df, keys, date_col, order_names(order_by), require_date).select(
+        *[col(k) for k in keys],
+        col("__n").alias("n"),
+        col("__dates").alias("n_distinct_dates"),
+        col("__first").alias("first_ord"),
     )
     return groups if limit is None else groups.orderBy("first_ord").limit(limit)
 
@@ -149,20 +170,20 @@ def cleaning_stats(
     df: DataFrame,
     keys: Sequence[str] = KEYS,
     date_col: str = DEFAULT_COLUMNS.date,
+    order_by: Sequence[str] = ORD,
     require_date: bool = False,
 ) -> DataFrame:
     """Rows before, groups with repeats, rows removed, rows after."""
-    require_columns(df, [*keys, date_col])
-    exempt = _exempt(keys, date_col, require_date)
-    marked = df.select(
-        exempt.alias("__exempt"), *[F.when(~exempt, col(k)).alias(k) for k in keys]
+    groups = _repeated(df, keys, date_col, order_names(order_by), require_date)
+    found = groups.agg(
+        F.count(F.lit(1)).alias("groups"), F.sum(col("__n") - 1).alias("rows_removed")
     )
-    sizes = marked.groupBy("__exempt", *[col(k) for k in keys]).agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n"), F.lit(0))
-    removed = F.coalesce(F.sum(F.when(~col("__exempt"), col("n") - 1)), F.lit(0))
-    return sizes.agg(
+    # Each side is one row; stacking and folding them needs no join.
+    both = df.agg(F.count(F.lit(1)).alias("rows_before")).unionByName(found, allowMissingColumns=True)
+    before, removed = F.max("rows_before"), F.coalesce(F.max("rows_removed"), F.lit(0))
+    return both.agg(
         before.alias("rows_before"),
-        F.count_if(~col("__exempt") & (col("n") > 1)).alias("groups"),
+        F.max("groups").alias("groups"),
         removed.alias("rows_removed"),
         (before - removed).alias("rows_after"),
     )

@@ -24,7 +24,7 @@ from rollcall.columns import (
     order_value,
 )
 from rollcall.functions.dates import answer_time, day_range, event_day, incentive_time, is_day_text
-from rollcall.functions.numbers import integer_id
+from rollcall.functions.numbers import id_rank
 from rollcall.operators.dedup import first_per_key
 from rollcall.operators.rows import audio_rows, end_time_rows, incentive_rows
 
@@ -190,9 +190,8 @@ def zero_fill(
 
 def summary_order(totals: DataFrame) -> list[Column]:
     """Sort key of participants: whole-number ids by value, then others as first seen."""
-    number = integer_id(col(PID))
     last = [col("first_ord")] if "first_ord" in totals.columns else []
-    return [number.isNull(), number, *last, col(PID)]
+    return [id_rank(col(PID)), *last, col(PID)]
 
 
 def _finish(wide: DataFrame, sort: bool) -> DataFrame:

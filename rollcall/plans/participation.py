@@ -21,13 +21,15 @@ class Participation:
 
     The counts per participant and day are made by one pass over the survey, when
     the first result is asked for, and kept: all other results are small work on
-    them. The latest incentives are the one other pass.
+    them. The latest incentives are the one other pass. Leave the audio counts out
+    of the first pass with ``with_audio=False`` if no audio result is wanted.
     """
 
     survey: DataFrame
     order_by: Sequence[str] = ORD
     cols: SurveyColumns = DEFAULT_COLUMNS
     policy: str = "text"
+    with_audio: bool = True
 
     @cached_property
     def _series(self) -> DataFrame:
@@ -35,7 +37,9 @@ class Participation:
 
     @cached_property
     def daily(self) -> DataFrame:
-        return self._series.filter("not audio").drop("audio")
+        if self.with_audio:
+            return self._series.filter("not audio").drop("audio")
+        return once(p.daily_entries(self.survey, self.cols, self.policy, self.order_by))
 
     @cached_property
     def totals(self) -> DataFrame:

@@ -11,6 +11,8 @@ from rollcall.columns import col
 
 MAX_FIELDS = 10_000
 
+_TEXT_LIKE_OBJECT = r':\s*"(\{|\\u007[bB])'
+
 
 def first_tag_value(tagged: Column) -> Column:
     """Value under the first tag of a one-key JSON object; null for ``{}``."""
@@ -36,15 +38,15 @@ def flatten_typed_json(
     to spare the pass that finds them.
     """
     names = typed_json_fields(df, line_col) if fields is None else list(fields)
-    text = F.from_json(col(line_col), "map<string,string>")
-    typed = F.from_json(col(line_col), "map<string,variant>")
-    parsed = df.withColumns({"__text": text, "__typed": typed})
+    line = col(line_col)
+    # The types are parsed only where some text value opens like an object.
+    typed = F.when(line.rlike(_TEXT_LIKE_OBJECT), F.from_json(line, "map<string,variant>"))
+    parsed = df.withColumns({"__text": F.from_json(line, "map<string,string>"), "__typed": typed})
     rest = [c for c in df.columns if c != line_col]
     return parsed.select(*[col(c) for c in rest], *[_field(n).alias(n) for n in names])
 
 
 def _field(field: str) -> Column:
-    value = F.col("__text")[F.lit(field)]
-    # Text that only looks like an object stays text; the type tells them apart.
-    is_object = F.schema_of_variant(F.col("__typed")[F.lit(field)]).startswith("OBJECT")
+    value, typed = F.col("__text")[F.lit(field)], F.col("__typed")
+    is_object = typed.isNull() | F.schema_of_variant(typed[F.lit(field)]).startswith("OBJECT")
     return F.when(value.startswith("{") & is_object, first_tag_value(value)).otherwise(value)

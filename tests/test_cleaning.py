@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from rollcall.columns import rename_resolved
 from rollcall.operators import cleaning as c
+from rollcall.operators import joins
 
 F3 = [
     ("q1", "p1", "t1", "2025-08-14T10:00"),
@@ -31,13 +32,13 @@ def places(df):
 def test_clean(uploads):
     assert places(c.clean(uploads, **ORDER)) == [2, 4, 5, 7, 8, 9]
     assert places(c.clean_removed(uploads, **ORDER)) == [1, 3, 6]
-    assert tuple(c.cleaning_stats(uploads).first()) == (9, 3, 3, 6)
+    assert tuple(c.cleaning_stats(uploads, **ORDER).first()) == (9, 3, 3, 6)
 
 
 def test_require_date(uploads):
     assert places(c.clean(uploads, **ORDER, require_date=True)) == [2, 3, 4, 5, 7, 8, 9]
     assert places(c.clean_removed(uploads, **ORDER, require_date=True)) == [1, 6]
-    assert tuple(c.cleaning_stats(uploads, require_date=True).first()) == (9, 2, 2, 7)
+    assert tuple(c.cleaning_stats(uploads, **ORDER, require_date=True).first()) == (9, 2, 2, 7)
 
 
 def test_groups(uploads):
@@ -77,23 +78,68 @@ def test_two_ordinals(uploads):
     assert places(c.clean(df)) == [2, 4, 5, 7, 8, 9]
 
 
-def test_blank_keys_skip_the_shuffle_and_hot_keys_shrink(uploads):
+def test_few_repeats_leave_the_rows_in_place(uploads):
+    for df in (c.clean(uploads, **ORDER), c.clean_removed(uploads, **ORDER)):
+        assert "BroadcastHashJoin" in plan(df)
+        assert "hashpartitioning" not in plan(df)
+
+
+@pytest.fixture
+def no_broadcast(monkeypatch):
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", -1)
+
+
+def test_many_repeats(uploads, no_broadcast):
+    test_clean(uploads)
+    test_require_date(uploads)
+    test_review(uploads)
+
+
+def test_many_repeats_shrink_before_the_shuffle(uploads, no_broadcast):
     text = plan(c.clean(uploads, **ORDER))
     assert text.count("Exchange hashpartitioning") == 1
-    assert "Partial" in text and "Final" in text
+    assert text.index("Final") < text.index("Exchange hashpartitioning") < text.index("Partial")
+
+
+def test_size_of_the_small_side(spark):
+    df = spark.createDataFrame([("abc", 1), (None, 2), ("\u00e9", 3)], "k string, n int")
+    assert joins.measured_bytes(df) == 3 * 48 + 3 + 2
+    assert joins.measured_bytes(df.limit(0)) == 0
 
 
-def test_hot_group_is_split_in_the_join(spark):
-    """One key with a third of all rows: its join partition is read by several tasks."""
-    hot = F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("q"), (F.col("id") / 2).cast("int")))
-    df = spark.range(0, 60_000, 1, 12).select(
+def test_keys_that_share_a_hash_are_told_apart(uploads, monkeypatch):
+    monkeypatch.setattr(c.F, "xxhash64", lambda *cols: F.lit(1).cast("bigint"))
+    test_clean(uploads)
+    test_groups(uploads)
+
+
+def _hot(spark):
+    """One key with a third of all rows, and pairs."""
+    pair = F.concat(F.lit("q"), (F.col("id") / 2).cast("int"))
+    return spark.range(0, 60_000, 1, 12).select(
         F.col("id").alias("_row_ord"),
-        hot.alias("PromptID"),
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(pair).alias("PromptID"),
         F.lit("p").alias("ParticipantID"),
         F.lit("t").alias("RespondedAt"),
         F.format_string("%09d", 100_000 - F.col("id")).alias("Date"),
         F.repeat(F.lit("x"), 50).alias("pad"),
     )
+
+
+def _check_hot(spark, removed, kept):
+    assert removed.filter("PromptID = 'hot'").count() == 19_999
+    assert kept.filter("PromptID = 'hot'").first()._row_ord == 59_997
+    assert removed.count() + kept.count() == 60_000
+    assert kept.groupBy("PromptID").count().filter("count > 1").count() == 0
+
+
+def test_hot_group(spark):
+    df = _hot(spark)
+    _check_hot(spark, c.clean_removed(df, **ORDER), c.clean(df, **ORDER))
+
+
+def test_hot_group_is_split_in_a_shuffled_join(spark, no_broadcast):
+    df = _hot(spark)
     settings = {
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000",
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
@@ -105,12 +151,9 @@ def test_hot_group_is_split_in_the_join(spark):
         spark.conf.set(key, value)
     try:
         removed = c.clean_removed(df, **ORDER)
-        kept = c.clean(df, **ORDER)
-        assert removed.filter("PromptID = 'hot'").count() == 19_999
         removed.collect()
         assert "skew=true" in plan(removed)
-        assert kept.filter("PromptID = 'hot'").first()._row_ord == 59_997
-        assert removed.count() + kept.count() == 60_000
+        _check_hot(spark, removed, c.clean(df, **ORDER))
     finally:
         for key in settings:
             spark.conf.unset(key)

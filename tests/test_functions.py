@@ -104,10 +104,15 @@ def test_days_option(given, expected):
 
 @pytest.mark.parametrize(
     "given, expected",
-    [("7", 7), ("0", 0), ("07", None), ("4294967294", 4294967294), ("4294967295", None), ("p1", None), ("-1", None)],
+    [("7", 7), ("0", 0), ("4294967294", 4294967294)],
 )
-def test_integer_id(spark, given, expected):
-    assert value(spark, given, numbers.integer_id) == expected
+def test_whole_number_ids(spark, given, expected):
+    assert value(spark, given, numbers.id_rank) == expected
+
+
+@pytest.mark.parametrize("given", ["07", "4294967295", "9999999999", "p1", "-1", "", None])
+def test_other_ids_rank_last(spark, given):
+    assert value(spark, given, numbers.id_rank) == 4294967295
 
 
 def test_trim_takes_every_blank(spark):
