@@ -24,21 +24,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def survey(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as a survey: users answer prompts, ids repeat within a day."""
-    ts, kind = F.col("ts"), F.col("event_type")
-    iso = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    kind, iso = F.col("event_type"), F.col("iso")
     cents = F.round(F.col("value") * 100).cast("bigint").cast("string")
     kinds = F.lit("other")
     for event, name in reversed(KIND_OF_EVENT.items()):
         kinds = F.when(kind == event, name).otherwise(kinds)
     user = F.col("user_id").cast("string")
-    return table(spark, sf_dir, "events").select(
+    events = table(spark, sf_dir, "events").withColumn(
+        "iso", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    )
+    return events.select(
         F.col("event_id").alias("_row_ord"),
-        F.concat(user, F.lit("-"), F.date_format(ts, "yyyyMMdd")).alias("ResponseID"),
+        F.concat(user, F.lit("-"), F.replace(F.left(iso, F.lit(10)), F.lit("-"), F.lit(""))).alias("ResponseID"),
         user.alias("ParticipantID"),
         kind.alias("PromptID"),
         kinds.alias("QuestionsType"),
         F.when(kind == "view", iso).when(kind == "purchase", cents).otherwise("").alias("Response"),
-        F.date_format(F.date_trunc("hour", ts), "yyyy-MM-dd'T'HH:mm:ss").alias("RespondedAt"),
+        F.concat(F.left(iso, F.lit(13)), F.lit(":00:00")).alias("RespondedAt"),
         iso.alias("Date"),
     )
 

@@ -19,10 +19,8 @@ BLANK_CHARS = (
 # Words that mean "no value" when they fill a key column.
 BLANK_WORDS = ("", "none", "null", "undefined")
 
-# One match instead of trim, lower and compare: it fails at the first character
-# of most keys.
-_BLANKS = "".join(f"\\u{ord(c):04x}" for c in BLANK_CHARS)
-_BLANK_WORD = rf"(?i)\A[{_BLANKS}]*({'|'.join(BLANK_WORDS)})[{_BLANKS}]*\z"
+# Most keys are told from a blank word by their first character alone.
+_FIRST = sorted({*BLANK_CHARS, *(w[:1] for w in BLANK_WORDS), *(w[:1].upper() for w in BLANK_WORDS)})
 
 
 def ws_trim(column: Column) -> Column:
@@ -36,7 +34,8 @@ def empty_default(column: Column, value: object = "") -> Column:
 
 def is_blank_word(column: Column) -> Column:
     """True for null, blank text and the words that stand for a missing value."""
-    return F.coalesce(column.rlike(_BLANK_WORD), F.lit(True))
+    word = F.lower(ws_trim(column)).isin(*BLANK_WORDS)
+    return F.when(F.left(column, F.lit(1)).isin(*_FIRST), word).otherwise(column.isNull())
 
 
 def has_blank_key(keys: list[Column]) -> Column:

@@ -158,8 +158,7 @@ def _cells(daily: DataFrame, day_names: Sequence[str], total: str | None = None)
     if not day_names:
         return moved.select(*keys).distinct()
     cells = moved.groupBy(*keys).pivot("day", list(day_names)).agg(F.sum("n"))
-    counts = [F.coalesce(col(d), F.lit(0)).alias(d) for d in day_names]
-    return cells.select(*keys, *counts)
+    return cells.na.fill(0, list(day_names))
 
 
 def _wide(

@@ -124,8 +124,9 @@ def test_blank_words(spark, given):
     assert value(spark, given, text.is_blank_word) is True
 
 
-def test_other_words_are_not_blank(spark):
-    assert value(spark, "NA", text.is_blank_word) is False
+@pytest.mark.parametrize("given", ["NA", "none!", "user", "x none", "nullnull", "0"])
+def test_other_words_are_not_blank(spark, given):
+    assert value(spark, given, text.is_blank_word) is False
 
 
 def test_header_names(spark):
