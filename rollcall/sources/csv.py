@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from rollcall.columns import FILE_ORD, ORD, ROW_ORD, col
 from rollcall.functions.text import BLANK_CHARS, empty_default, ws_trim
 from rollcall.operators.sets import check_case, union_rows
+from rollcall.sources.files import literal_path
 
 #: Paths are joined to their scan by broadcast while they take less than this.
 BROADCAST_PATHS_BYTES = 32 * 1024 * 1024
@@ -65,12 +66,15 @@ class Loaded:
     skipped: dict[str, str] = field(default_factory=dict)
 
 
-def _probe(spark: SparkSession, path: str, ord_: int, fmt: CsvFormat) -> SourceFile:
+def _probe(
+    spark: SparkSession, path: str, ord_: int, fmt: CsvFormat, read_path: str | None = None
+) -> SourceFile:
     """Header, size and location of one file, from its first lines only."""
+    read_path = read_path or literal_path(path)
     meta = ["_metadata.file_path", "_metadata.file_size"]
     options = {**fmt.options(), "header": False}
     if fmt.options()["encoding"].upper() == "UTF-8":
-        lines = spark.read.text(path).select("value", *meta)
+        lines = spark.read.text(read_path).select("value", *meta)
         first = lines.filter(F.length(ws_trim(F.col("value"))) > 0).head(1)
         if not first:
             return SourceFile(path, ord_)
@@ -79,7 +83,7 @@ def _probe(spark: SparkSession, path: str, ord_: int, fmt: CsvFormat) -> SourceF
             fields = next(_csv.reader([line], delimiter=fmt.sep))
             return SourceFile(path, ord_, _names(fields, fmt), uri, size)
     # A quoted name that spans lines, or another encoding: let the CSV reader do it.
-    raw = spark.read.options(**options).csv(path)
+    raw = spark.read.options(**options).csv(read_path)
     if not raw.columns:
         return SourceFile(path, ord_)
     *fields, uri, size = raw.select("*", *meta).head()
@@ -170,7 +174,7 @@ def _scan(
     header = files[0].header
     at = _header_columns(header, fmt)
     reader = spark.read.schema(_positional(header)).options(**fmt.options(), header=True)
-    raw = reader.option("ignoreCorruptFiles", ignore_corrupt).csv([f.path for f in files])
+    raw = reader.option("ignoreCorruptFiles", ignore_corrupt).csv([literal_path(f.path) for f in files])
     placed = with_ord(raw, files)
     values = [
         (_text(F.col(f"_c{at[c]}"), fmt) if c in at else F.lit("")).alias(c) for c in columns
@@ -223,7 +227,8 @@ def read_csv(
     file with another header fails the read; use ``read_many`` for such files.
     """
     fmt = CsvFormat(sep, encoding, trim, multiline)
-    first = _probe(spark, path if isinstance(path, str) else path[0], 0, fmt)
+    start = path if isinstance(path, str) else path[0]
+    first = _probe(spark, start, 0, fmt, read_path=start)
     if not first.header:
         return spark.createDataFrame([], T.StructType([]))
     _header_columns(first.header, fmt)

@@ -3,51 +3,68 @@
 from __future__ import annotations
 
 import fnmatch
+import re
 from collections.abc import Iterable, Sequence
 from urllib.parse import unquote, urlparse
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Fixed value: the suffix that files given by name or by glob must have.
 CSV_SUFFIX = ".csv"
 
 
 def plain_path(uri: str) -> str:
-    """``file:/a/b`` and ``file:///a/b`` as ``/a/b``; other schemes unchanged."""
+    """``file:///a/b%20c`` as ``/a/b c``; other schemes keep their prefix."""
     parsed = urlparse(uri)
-    return unquote(parsed.path) if parsed.scheme == "file" else uri
+    return unquote(parsed.path if parsed.scheme == "file" else uri)
+
+
+def literal_path(path: str) -> str:
+    """A path in which no character is read as part of a glob."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
 
 
 def unique_paths(paths: Iterable[str]) -> list[str]:
     return list(dict.fromkeys(paths))
 
 
-def listing(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
-    """Path and length of the files below a directory, or that match a glob."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
-    return reader.load(path).select("path", "length")
+def listing(spark: SparkSession, path: str, recursive: bool = False) -> list[str]:
+    """Files below a directory, or that match a glob. Lists names; runs no job."""
+    reader = spark.read.option("recursiveFileLookup", recursive)
+    return sorted(plain_path(uri) for uri in reader.text(path).inputFiles())
 
 
 def _expand(spark: SparkSession, item: str, pattern: str, recursive: bool) -> list[str]:
     is_glob = any(c in item for c in "*?[{")
     try:
-        found = listing(spark, item, recursive and not is_glob).collect()
+        paths = listing(spark, item if is_glob else literal_path(item), recursive and not is_glob)
     except AnalysisException:
         return []
-    paths = sorted(plain_path(r.path) for r in found)
-    base = plain_path(item).rstrip("/")
-    if is_glob or paths == [base]:
+    base = _inside(plain_path(item)).rstrip("/")
+    if is_glob or (len(paths) == 1 and _names(paths[0], base)):
         # Directories that the glob matches are listed too; their files lie deeper.
         return [p for p in paths if p.lower().endswith(CSV_SUFFIX) and _same_depth(p, base)]
     if not recursive:
-        paths = [p for p in paths if p.rsplit("/", 1)[0].endswith(base)]
+        paths = [p for p in paths if _names(p.rsplit("/", 1)[0], base)]
     return [p for p in paths if fnmatch.fnmatchcase(p.rsplit("/", 1)[1], pattern)]
 
 
+def _inside(path: str) -> str:
+    """The path without scheme, host and leading ``./``."""
+    bare = re.sub(r"^[a-z][a-z0-9+.-]*:(//[^/]*)?", "", path)
+    return "" if bare == "." else bare.removeprefix("./")
+
+
+def _names(path: str, given: str) -> bool:
+    """Whether an absolute path is the given one, which may be relative."""
+    path = _inside(path)
+    return path == given or (not given.startswith("/") and path.endswith("/" + given if given else ""))
+
+
 def _same_depth(path: str, glob: str) -> bool:
-    parts, wanted = path.split("/"), glob.removeprefix("./").split("/")
-    if glob.startswith("/") or ":" in wanted[0]:
+    parts, wanted = _inside(path).split("/"), glob.split("/")
+    if glob.startswith("/"):
         return len(parts) == len(wanted)
     return all(map(fnmatch.fnmatchcase, parts[-len(wanted) :], wanted))
 

@@ -81,6 +81,15 @@ def test_columns_are_bound_by_each_header(spark, put):
         c.read_csv(spark, paths[:2]).collect()
 
 
+def test_odd_file_names(spark, put, tmp_path):
+    names = ["a b.csv", "p%20q.csv", "x[1].csv", "é.csv"]
+    paths = [put(n, f"a\n{n}\n") for n in names]
+    assert discover(spark, str(tmp_path)) == sorted(paths)
+    loaded = c.read_many(spark, paths)
+    assert rows(loaded.df, "_file_ord", "a") == list(enumerate(names))
+    assert not loaded.skipped
+
+
 def test_repeated_header(spark, put):
     path = put("r.csv", "a,b,a\n1,2,3\n")
     with pytest.raises(ValueError, match="repeated header names: a"):
@@ -136,7 +145,7 @@ def test_row_order_over_splits(spark, put):
 
 def test_discover(spark, put, tmp_path):
     for name in ("b.csv", "a.csv", "c.CSV", "d.txt", "sub/e.csv"):
-        put(name, "a\n1\n")
+        put(name, "" if name == "b.csv" else "a\n1\n")
     base = str(tmp_path)
 
     def short(paths):
@@ -148,9 +157,21 @@ def test_discover(spark, put, tmp_path):
     assert short(discover(spark, [f"{base}/b.csv", base])) == ["b.csv", "a.csv"]
     assert short(discover(spark, f"{base}/*")) == ["a.csv", "b.csv", "c.CSV"]
     assert discover(spark, [f"{base}/d.txt", f"{base}/none*"]) == []
+    assert short(discover(spark, [f"file://{base}/b.csv", f"file:{base}"])) == ["b.csv", "a.csv"]
     assert unique_paths(["x", "y", "x"]) == ["x", "y"]
 
 
+def test_discover_relative(spark, put, tmp_path, monkeypatch):
+    from rollcall.sources import files
+
+    base = str(tmp_path)
+    assert files._names(f"{base}/d/a.csv", "d/a.csv") and files._names(f"{base}/d", "d")
+    assert not files._names(f"{base}/d/e", "d")
+    assert files._same_depth(f"{base}/d/a.csv", "d/*.csv")
+    assert not files._same_depth(f"{base}/d/e/a.csv", "d/*.csv")
+    assert files._inside("hdfs://host:9/x/y") == "/x/y" and files._inside("./x") == "x"
+
+
 LINE = '{"ParticipantID":{"S":"p1"},"n":{"N":"5"},"flag":true,"z":null,"l":{"L":[{"S":"a"}]},"e":{}}'
 
 
