@@ -134,6 +134,24 @@ def src_file_inventory(spark, sf_dir):
     return inventory.agg(F.sum("rows").alias("rows"), F.max("columns").alias("columns"))
 
 
+@query(PARTIES)
+def src_discover(spark, sf_dir):
+    """Both folders found from the one above them; no file is taken twice."""
+    above = _party_files(spark, sf_dir)[0].rsplit("/", 1)[0]
+    paths = discover(spark, [above, above + "/customer/*.csv"], recursive=True)
+    return csv.read_many(spark, paths).df.drop("_file_ord", "_row_ord")
+
+
+@query(PARTIES)
+def src_empty_file(spark, sf_dir):
+    """Files without a line add neither rows nor columns."""
+    folders = _party_files(spark, sf_dir)
+    nothing = folders[0].rsplit("/", 1)[0] + "/nothing"
+    table(spark, sf_dir, "customer").filter("c_custkey < 0").select("c_name").write.text(nothing)
+    found = discover(spark, folders) + discover(spark, nothing, pattern="*.txt")
+    return csv.read_many(spark, found).df.drop("_file_ord", "_row_ord")
+
+
 @query(PARTIES)
 def src_skip_bad(spark, sf_dir):
     """A path that does not exist is reported and left out."""
