@@ -23,6 +23,8 @@ from rollcall.operators.sets import union_rows
 from rollcall.session import once
 
 KEYS = DEFAULT_COLUMNS.cleaning_keys
+
+# Status words of the review.
 KEPT = "Kept (earliest)"
 REMOVED = "Removed"
 
@@ -37,14 +39,20 @@ def _collated(date_col: str) -> Column:
     return F.collate(F.coalesce(col(date_col), F.lit("")), "UNICODE")
 
 
-def _repeated(
-    df: DataFrame, keys: Sequence[str], date_col: str, order: Sequence[str], require_date: bool
+def repeated_keys(
+    df: DataFrame,
+    keys: Sequence[str] = KEYS,
+    date_col: str = DEFAULT_COLUMNS.date,
+    order_by: Sequence[str] = ORD,
+    require_date: bool = False,
 ) -> DataFrame:
     """Per key with more than one row: its size, upload times, first place and kept place.
 
     A hash of the keys is counted first. Keys that share a hash by chance are told
     apart by the second step, which groups the few rows left by the keys themselves.
+    The result is computed here; hand it to the functions below to share it.
     """
+    order = order_names(order_by)
     require_columns(df, [*keys, date_col])
     rows = df.filter(~_exempt(keys, date_col, require_date)).select(
         *[col(k) for k in dict.fromkeys([*keys, date_col, *order])],
@@ -72,6 +80,7 @@ def clean(
     date_col: str = DEFAULT_COLUMNS.date,
     order_by: Sequence[str] = ORD,
     require_date: bool = False,
+    repeated: DataFrame | None = None,
 ) -> DataFrame:
     """The earliest upload of each key, and every row with a blank key.
 
@@ -79,7 +88,9 @@ def clean(
     row counts as the earliest.
     """
     order = order_names(order_by)
-    groups = _repeated(df, keys, date_col, order, require_date).select(*[col(k) for k in keys], "__keep")
+    if repeated is None:
+        repeated = repeated_keys(df, keys, date_col, order, require_date)
+    groups = repeated.select(*[col(k) for k in keys], "__keep")
     exempt = _exempt(keys, date_col, require_date)
     if not fits_broadcast(groups):
         # Many repeats: one row per key and task is left before the shuffle.
@@ -116,11 +127,13 @@ def clean_removed(
     date_col: str = DEFAULT_COLUMNS.date,
     order_by: Sequence[str] = ORD,
     require_date: bool = False,
+    repeated: DataFrame | None = None,
 ) -> DataFrame:
     """The rows that ``clean`` leaves out."""
     order = order_names(order_by)
-    groups = _repeated(df, keys, date_col, order, require_date)
-    members = _members(df, groups, keys, date_col, order, require_date)
+    if repeated is None:
+        repeated = repeated_keys(df, keys, date_col, order, require_date)
+    members = _members(df, repeated, keys, date_col, order, require_date)
     return members.filter(col("Status") == REMOVED).drop("Status", "__first")
 
 
@@ -131,13 +144,16 @@ def clean_review(
     order_by: Sequence[str] = ORD,
     require_date: bool = False,
     groups: int | None = None,
+    repeated: DataFrame | None = None,
 ) -> DataFrame:
     """All rows of repeated keys with their status, groups as first seen.
 
     ``groups`` limits the report to the groups that come first.
     """
     order = order_names(order_by)
-    shown = _repeated(df, keys, date_col, order, require_date)
+    if repeated is None:
+        repeated = repeated_keys(df, keys, date_col, order, require_date)
+    shown = repeated
     if groups is not None:
         shown = shown.orderBy("__first").limit(groups)
     members = _members(df, shown, keys, date_col, order, require_date)
@@ -152,12 +168,15 @@ def duplicate_groups(
     order_by: Sequence[str] = ORD,
     require_date: bool = False,
     limit: int | None = None,
+    repeated: DataFrame | None = None,
 ) -> DataFrame:
     """Keys with more than one row, their size and number of upload times.
 
     ``limit`` keeps the groups that come first (a report of a few groups).
     """
-    groups = _repeated(df, keys, date_col, order_names(order_by), require_date).select(
+    if repeated is None:
+        repeated = repeated_keys(df, keys, date_col, order_by, require_date)
+    groups = repeated.select(
         *[col(k) for k in keys],
         col("__n").alias("n"),
         col("__dates").alias("n_distinct_dates"),
@@ -172,10 +191,12 @@ def cleaning_stats(
     date_col: str = DEFAULT_COLUMNS.date,
     order_by: Sequence[str] = ORD,
     require_date: bool = False,
+    repeated: DataFrame | None = None,
 ) -> DataFrame:
     """Rows before, groups with repeats, rows removed, rows after."""
-    groups = _repeated(df, keys, date_col, order_names(order_by), require_date)
-    found = groups.agg(
+    if repeated is None:
+        repeated = repeated_keys(df, keys, date_col, order_by, require_date)
+    found = repeated.agg(
         F.count(F.lit(1)).alias("groups"), F.sum(col("__n") - 1).alias("rows_removed")
     )
     # Each side is one row; stacking and folding them needs no join.

@@ -9,6 +9,7 @@ from rollcall.operators import cleaning as c
 from rollcall.operators import dedup as d
 from rollcall.operators import joins, ranges
 from rollcall.operators import participation as p
+from rollcall.plans.cleaning import Cleaning
 from rollcall.plans.participation import Participation
 from test_participation import COLUMNS
 
@@ -129,14 +130,14 @@ def test_cleaning(table, monkeypatch, seed, limit, require_date):
     removed = sorted(place for g in groups.values() for _, place in sorted(g)[1:])
     kept = sorted(set(range(1, len(data) + 1)) - set(removed))
     many = {k: g for k, g in groups.items() if len(g) > 1}
-    how = {"order_by": ["_row_ord"], "require_date": require_date}
+    done = Cleaning(df, order_by=["_row_ord"], require_date=require_date)
 
-    assert [x[0] for x in sorted(rows(c.clean(df, **how), "_row_ord"))] == kept
-    assert [x[0] for x in sorted(rows(c.clean_removed(df, **how), "_row_ord"))] == removed
-    assert tuple(c.cleaning_stats(df, **how).first()) == (len(data), len(many), len(removed), len(kept))
+    assert [x[0] for x in sorted(rows(done.cleaned(), "_row_ord"))] == kept
+    assert [x[0] for x in sorted(rows(done.removed(), "_row_ord"))] == removed
+    assert tuple(done.stats().first()) == (len(data), len(many), len(removed), len(kept))
     sizes = sorted(((*k, len(g), len({x for x, _ in g}), min(y for _, y in g)) for k, g in many.items()), key=repr)
-    assert rows(c.duplicate_groups(df, **how)) == sizes
-    review = [(x.Status, x._row_ord) for x in c.clean_review(df, **how).collect()]
+    assert rows(done.groups()) == sizes
+    review = [(x.Status, x._row_ord) for x in done.review(None).collect()]
     in_order = sorted(many.values(), key=lambda g: min(y for _, y in g))
     assert review == [
         (c.REMOVED if i else c.KEPT, place) for g in in_order for i, (_, place) in enumerate(sorted(g))
