@@ -156,7 +156,10 @@ def clean_review(
     shown = repeated
     if groups is not None:
         shown = shown.orderBy("__first").limit(groups)
+    # The sort samples its input first. Spread by place, the few rows shown are read
+    # from this shuffle both times, and the survey is not scanned twice.
     members = _members(df, shown, keys, date_col, order, require_date)
+    members = members.repartition(*[col(c) for c in order])
     place = [col("__first"), col("Status"), _collated(date_col), *[col(c) for c in order]]
     return members.orderBy(*place).drop("__first")
 
