@@ -1,6 +1,6 @@
 """Operators for training-data corpora, and their queries."""
 
-from rollcall.llm import chat, decontaminate, lines, minhash, token_counts  # noqa: F401 - importing registers the queries
+from rollcall.llm import chat, decontaminate, lines, minhash, packing, token_counts  # noqa: F401 - importing registers the queries
 from rollcall.llm.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
