@@ -45,8 +45,11 @@ def _places(n: int) -> np.ndarray:
     return _PLACE
 
 
-def words(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and how many each text has."""
+def words(texts: Sequence[bytes], prefix: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and how many each text has.
+
+    With ``prefix``, hashes of the words' first bytes, that many at most.
+    """
     data = b" ".join(texts).translate(_LOWER)
     a = np.frombuffer(data, dtype=np.uint8)
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
@@ -55,13 +58,16 @@ def words(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
     begins = np.flatnonzero(~blank & np.concatenate(([True], blank[:-1])))
     if not len(begins):
         return np.empty(0, dtype=np.uint64), np.zeros(len(texts), dtype=np.int64)
+    counts = np.diff(np.append(np.searchsorted(begins, first), len(begins)))
     a = a[begins[0] :]
     starts = begins - begins[0]
     sizes = np.diff(np.append(starts, len(a)))
     place = np.arange(len(a), dtype=np.int64) - np.repeat(starts, sizes)
     place[blank[begins[0] :]] = 0
-    hashed = mix(np.add.reduceat(_BYTE[a] * _places(int(place.max()) + 1)[place], starts))
-    return hashed, np.diff(np.append(np.searchsorted(begins, first), len(begins)))
+    values = _BYTE[a] * _places(int(place.max()) + 1)[place]
+    if prefix is not None:
+        values[place >= prefix] = 0
+    return mix(np.add.reduceat(values, starts)), counts
 
 
 def shingles(texts: Sequence[bytes], size: int = 5) -> tuple[np.ndarray, np.ndarray]:
