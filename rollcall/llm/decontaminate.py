@@ -34,6 +34,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rollcall.llm.ids import without
 from rollcall.llm.registry import query, table
 from rollcall.session import once
 
@@ -199,8 +200,7 @@ def contaminations(
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without those that hold a benchmark passage; rows without an id stay."""
-    held = contaminations(docs, benchmark, key, text).select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(held, key, "left_anti")
+    return without(docs, contaminations(docs, benchmark, key, text).select(F.col("doc_id").alias("id")), key)
 
 
 @query("op4_benchmark_decontamination")

@@ -44,7 +44,7 @@ PREFIXES = (4, 5)
 STEPS = 300
 RIDGE = 2e-4
 #: Documents of this expected severity or more are rejected.
-REJECT = 0.4
+REJECT = 0.5
 
 
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
