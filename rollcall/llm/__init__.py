@@ -1,6 +1,6 @@
 """Operators for training-data corpora, and their queries."""
 
-from rollcall.llm import ann, chat, decontaminate, lines, minhash, packing, token_counts, toxicity  # noqa: F401 - importing registers the queries
+from rollcall.llm import ann, chat, decontaminate, lines, minhash, packing, pseudonyms, token_counts, toxicity  # noqa: F401 - importing registers the queries
 from rollcall.llm.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
