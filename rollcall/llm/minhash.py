@@ -8,25 +8,26 @@
 3.  *Prefix*: two signatures that agree in ``MATCHES`` places must share one of the
     rarest ``m - MATCHES + 1`` pairs of either, so only these are posted. *Skip*: the long lists
     of frequent pairs are never merged; collisions there are counted on the signatures.
-4.  Posting lists are not turned into all pairs. First each class meets one randomly drawn
-    class of each of its lists, and what is confirmed becomes components. Then only classes
-    of different components that still share a list are paired: the members outside the
-    list's main component with all others.
-5.  Pairs with at least ``MATCHES`` equal coordinates are confirmed on their full
-    shingle sets, exactly.
+4.  Posting lists are not turned into all pairs. First each class meets the one class of each of its
+    lists that has the most collisions, the middle of a group of near copies; the closest
+    is confirmed, and such links name groups. Then only classes of different groups that
+    still share a list are paired: the members outside the list's main group with all
+    others, if a longer sketch of one bit per minimum lets them pass.
+5.  Pairs that pass are confirmed on their full shingle sets, exactly.
 
-A pair at the least similarity has fewer than ``MATCHES`` equal coordinates with
-a probability below ``MISS``; more similar pairs are safer still.
+A pair at the least similarity fails each of the two screens (``MATCHES`` equal coordinates, ``LEAST_BITS``
+equal bits) with a probability below ``MISS``; more similar pairs are safer still.
 
 Defined results: null and empty texts, and texts of blanks, have no shingles and are linked
-with nothing; repeated rows are copies of each other; rows that share an id are one
-document for linking; a row without an id takes no part (no component, kept); an empty
+with nothing; repeated rows are copies of each other; rows that share an id and
+differ in text are judged each by its own text; a row without an id takes no part (no component, kept); an empty
 table gives an empty one; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import comb
 
 import numpy as np
@@ -35,22 +36,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollcall.llm.components import components
+from rollcall.llm.ids import sized, without
 from rollcall.llm.registry import query, table
 from rollcall.llm.shingles import chunks, shingles, signatures
 from rollcall.session import once
 
-K = 64
+K = 128
 #: Least similarity, in hundredths, so that it is compared in whole numbers.
 SIMILARITY = 75
-MISS = 1e-6
+MISS = 1e-5
 WORDS = 5
-#: Random partners per posting list, one after the other, before pairs are made.
-DRAWS = 2
-#: Ids (8 bytes each) that may be sent to all executors; more go through a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Bits of the long sketch by which the last pairs are screened, one from each of as many minima.
+BITS = 1024
 
 
-def least_matches(k: int, similarity: int, miss: float) -> int:
+def least_matches(k: int, similarity: float, miss: float) -> int:
     """The largest threshold below which a pair at ``similarity`` falls with chance ``miss`` at most."""
     p, below, m = similarity / 100, 0.0, 0
     while below + (term := comb(k, m) * p**m * (1 - p) ** (k - m)) <= miss:
@@ -59,6 +59,8 @@ def least_matches(k: int, similarity: int, miss: float) -> int:
 
 
 MATCHES = least_matches(K, SIMILARITY, MISS)
+#: Two minima that differ have equal last bits half of the time.
+LEAST_BITS = least_matches(BITS, (100 + SIMILARITY) / 2, MISS)
 
 
 def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -135,8 +137,20 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
 
+def _sketch_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, text) to (node, the last bits of BITS minima)."""
+    for batch in batches:
+        out = []
+        for _, run in chunks(batch.column(1).to_pylist()):
+            hashes, n = shingles(run, WORDS)
+            last = (signatures(hashes, n, BITS) & 1).astype(np.uint8)
+            out += np.packbits(last, axis=1).view(np.int64).tolist()
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["node", "bits"])
+
+
 def postings(classes: DataFrame) -> DataFrame:
-    """(node, n, tok) for the prefix of each class: its rarest coordinate-value pairs."""
+    """(node, n, weight, prefix): the rarest coordinate-value pairs of each class, rarest first.
+    ``weight`` counts how often all its pairs are posted."""
     posted = classes.select("node", "n", F.posexplode("sig").alias("j", "v")).select(
         "node", "n", (F.shiftleft(F.col("j").cast("bigint"), 32) + F.col("v").cast("bigint") + F.lit(1 << 31)).alias("tok")
     )
@@ -144,12 +158,11 @@ def postings(classes: DataFrame) -> DataFrame:
     own = (
         posted.join(shared, "tok")
         .groupBy("node", "n")
-        .agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("toks"))  # K at most
+        .agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("toks"), F.sum("df").alias("weight"))  # K at most
         .where(F.size("toks") >= MATCHES)
     )
-    return own.select("node", "n", F.explode(F.slice("toks", F.lit(1), F.size("toks") - (MATCHES - 1))).alias("t")).select(
-        "node", "n", F.col("t.tok").alias("tok")
-    )
+    prefix = F.slice("toks", F.lit(1), F.size("toks") - (MATCHES - 1))
+    return own.select("node", "n", "weight", F.transform(prefix, lambda t: t["tok"]).alias("prefix"))
 
 
 def _sides(pairs: DataFrame, of: DataFrame, value: str) -> DataFrame:
@@ -164,10 +177,10 @@ def links(classes: DataFrame, texts: DataFrame) -> DataFrame:
 
     ``classes``: node, n, sig. ``texts``: node, text.
     """
-    posted = once(postings(classes))
-    nodes = once(posted.select("node").distinct())
-    few = nodes.count() <= BROADCAST_IDS
-    chosen = F.broadcast(nodes) if few else nodes
+    prefixes = once(postings(classes))
+    nodes = prefixes.select("node")
+    posted = prefixes.select("node", "n", "weight", F.explode("prefix").alias("tok"))
+    chosen = sized(nodes)
     texts = once(texts.join(chosen, "node", "left_semi"))
     sigs = once(classes.select("node", "sig").join(chosen, "node", "left_semi"))
 
@@ -177,51 +190,57 @@ def links(classes: DataFrame, texts: DataFrame) -> DataFrame:
     def confirmed(pairs: DataFrame) -> DataFrame:
         return _sides(pairs, texts, "text").mapInArrow(_confirm, "a bigint, b bigint")
 
-    def placed(found: DataFrame) -> DataFrame:
-        """Posting lists that still hold several components, with each member's."""
-        where = components(found)
-        now = posted.join(where, "node", "left").select(
-            "node", "n", "tok", F.coalesce("component", "node").alias("component")
-        )
-        mixed = now.groupBy("tok").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-        return once(now.join(mixed.select("tok"), "tok", "left_semi"))
-
-    open_lists = posted.withColumn("component", F.col("node"))
-    found = None
-    for draw in range(DRAWS):
-        order = F.xxhash64("node", F.lit(draw))
-        drawn = open_lists.groupBy("tok").agg(
-            *[F.min_by(c, order).alias(f"r_{c}") for c in ("node", "component", "n")]
-        )
-        meet = (
-            open_lists.join(drawn, "tok")
-            .where((F.col("component") != F.col("r_component")) & _sizes_fit(F.col("n"), F.col("r_n")))
-            .select(F.col("node").alias("a"), F.col("r_node").alias("b"))
-            .distinct()
-        )
-        best = matched(meet).groupBy("a").agg(F.max_by("b", "matches").alias("b"))
-        more = once(confirmed(best))
-        found = more if found is None else found.unionByName(more)
-        open_lists = placed(found)
+    # the middle of a group of near copies shares the most pairs; the hash settles ties alike everywhere
+    order = F.shiftleft("weight", 16).bitwiseOR(F.pmod(F.xxhash64("node"), F.lit(1 << 16)))
+    centre = posted.groupBy("tok").agg(F.max_by("node", order).alias("c"), F.max_by("n", order).alias("c_n"))
+    meet = (
+        posted.join(centre, "tok")
+        .where((F.col("node") != F.col("c")) & _sizes_fit(F.col("n"), F.col("c_n")))
+        .select(F.col("node").alias("a"), F.col("c").alias("b"))
+        .distinct()
+    )
+    best = matched(meet).groupBy("a").agg(F.max_by("b", "matches").alias("b"))
+    found = once(confirmed(best))
 
+    # two steps along these links name groups that are connected; lists of one group are done
+    step = found.select(F.col("a").alias("node"), F.col("b").alias("one"))
+    step = step.join(found.select(F.col("a").alias("one"), F.col("b").alias("two")), "one", "left").select(
+        "node", F.coalesce("two", "one").alias("component")
+    )
+    now = posted.join(step, "node", "left").select(
+        "node", "n", "tok", F.coalesce("component", "node").alias("component")
+    )
+    mixed = now.groupBy("tok").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    open_lists = once(now.join(mixed.select("tok"), "tok", "left_semi"))
     main = (
         open_lists.groupBy("tok", "component")
         .agg(F.count("*").alias("members"))
         .groupBy("tok")
         .agg(F.max_by("component", "members").alias("main"))
     )
+    left_over = open_lists.select("node").distinct()
+    bits = once(texts.join(left_over, "node", "left_semi").mapInArrow(_sketch_bits, "node bigint, bits array<bigint>"))
     members = open_lists.join(main, "tok")
+    known = prefixes.select("node", "prefix").join(bits, "node")
+    members = members.join(known, "node")
     others = members.where("component <> main").select(
-        "tok", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("component_a")
+        "tok", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "component", "prefix", "bits")]
     )
-    apart = (F.col("component") != F.col("component_a")) & ((F.col("component") == F.col("main")) | (F.col("a") < F.col("node")))
-    rest = (
-        others.join(members, "tok")
-        .where(apart & _sizes_fit(F.col("n_a"), F.col("n")))
-        .select("a", F.col("node").alias("b"))
-        .distinct()
+    apart = (F.col("component") != F.col("component_a")) & (
+        (F.col("component") == F.col("main")) | (F.col("node_a") < F.col("node"))
     )
-    return found.unionByName(confirmed(matched(rest).select("a", "b")))
+    differ = [F.bit_count(F.get("bits_a", F.lit(i)).bitwiseXOR(F.get("bits", F.lit(i)))) for i in range(BITS // 64)]
+    # a pair meets in every list it shares, and is taken from the rarest only
+    once_only = F.get(F.array_intersect("prefix_a", "prefix"), F.lit(0)) == F.col("tok")
+    rest = others.join(
+        members.withColumnRenamed("tok", "tok_b"),
+        (F.col("tok") == F.col("tok_b"))
+        & apart
+        & _sizes_fit(F.col("n_a"), F.col("n"))
+        & (reduce(Column.__add__, differ) <= BITS - LEAST_BITS)
+        & once_only,
+    ).select(F.col("node_a").alias("a"), F.col("node").alias("b"))
+    return found.unionByName(confirmed(rest))
 
 
 def _sizes_fit(a: Column, b: Column) -> Column:
@@ -255,6 +274,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     )
 
 
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one document of each component: the one with the smallest id, and of
+    repeated rows one. Rows without an id stay."""
+    found = once(near_duplicates(docs, key, text))
+    by_id = found.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("id")).agg(
+        F.bool_or("kept").alias("kept"), F.count("*").alias("n")
+    )
+    out = without(docs, by_id.where("NOT kept").select("id"), key)
+    twice = once(by_id.where("kept AND n > 1").select(F.col("id").alias(key)))
+    if twice.isEmpty():
+        return out
+    return out.join(twice, key, "left_anti").unionByName(
+        out.join(twice, key, "left_semi").dropDuplicates([key, text])
+    )
+
+
 @query("op6_minhash_near_dedup")
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
