@@ -52,7 +52,7 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     found, places = [], []
     for n, prefix in enumerate((None, *PREFIXES)):
         hashes, counts = words(texts, prefix)
-        found.append(hashes ^ np.uint64(n * 0x5851F42D4C957F2D))
+        found.append((hashes ^ np.uint64(n * 0x5851F42D4C957F2D)) & ~np.uint64(1))
         places.append(np.repeat(np.arange(len(texts)), counts))
     return np.concatenate(found), np.concatenate(places)
 
@@ -126,41 +126,49 @@ def fit(row: np.ndarray, column: np.ndarray, grade: np.ndarray, n_features: int,
     return x[:n_features], x[n_features] + np.concatenate(([0.0], np.cumsum(np.exp(x[n_features + 1 :]))))
 
 
-def choose(row: np.ndarray, hashes: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def choose(hashes: np.ndarray, toxic: np.ndarray, n_rows: int, n_toxic: int) -> tuple[np.ndarray, np.ndarray]:
     """The feature hashes that depend most on the label (sorted), and how much more often
-    each occurs in toxic rows. ``row``/``hashes`` hold each pair once."""
-    keys, column = np.unique(hashes, return_inverse=True)
-    there = np.bincount(column)
-    bad = np.bincount(column, weights=toxic[row])
-    share = toxic.mean()
-    z = (bad - there * share) / np.sqrt(np.maximum(there, 1) * share * (1 - share) + 1e-9)
+    each occurs in toxic rows. ``hashes`` holds each feature of a row once, ``toxic`` the row's label.
+
+    Hashes are even, so the label goes into the lowest bit and one sort in place counts both."""
+    tagged = hashes | toxic.astype(np.uint64)
+    tagged.sort()
+    start = np.flatnonzero(np.concatenate(([True], (tagged[1:] ^ tagged[:-1]) > 1))) if len(tagged) else np.zeros(0, np.int64)
+    there = np.diff(np.append(start, len(tagged)))
     often = np.flatnonzero(there >= LEAST_ROWS)
-    best = np.sort(often[np.argsort(-np.abs(z[often]), kind="stable")[:FEATURES]])
-    lift = (bad[best] + 0.5) / max(toxic.sum(), 1) / ((there[best] - bad[best] + 0.5) / max((1 - toxic).sum(), 1))
+    keys, begin, there = tagged[start[often]] & ~np.uint64(1), start[often], there[often]
+    bad = np.searchsorted(tagged, keys, side="right")  # behind the rows that are not toxic
+    bad = there - (bad - begin)
+    share = n_toxic / n_rows
+    z = (bad - there * share) / np.sqrt(there * share * (1 - share) + 1e-9)
+    best = np.sort(np.argsort(-np.abs(z), kind="stable")[:FEATURES])
+    lift = (bad[best] + 0.5) / max(n_toxic, 1) / ((there[best] - bad[best] + 0.5) / max(n_rows - n_toxic, 1))
     return keys[best], lift
 
 
-def train(texts: list[bytes], toxic: np.ndarray, n_grades: int = GRADES) -> Model | None:
+def train(texts: list[str | None], toxic: np.ndarray, n_grades: int = GRADES) -> Model | None:
     """The model of some labelled texts; None if they are all of one kind."""
     if not len(toxic) or toxic.min() == toxic.max():
         return None
     rows, hashes = [], []
-    for begin, run in chunks([t.decode("utf-8", "surrogatepass") for t in texts]):
+    for begin, run in chunks(texts):
         found, place = features(run)
         order = np.lexsort((found, place))
         found, place = found[order], place[order]
         new = np.concatenate(([True], (found[1:] != found[:-1]) | (place[1:] != place[:-1]))) if len(found) else np.zeros(0, bool)
-        rows.append(place[new] + begin)
+        rows.append((place[new] + begin).astype(np.int32))
         hashes.append(found[new])
     row, found = np.concatenate(rows), np.concatenate(hashes)
-    keys, lift = choose(row, found, toxic.astype(float))
-    at = np.minimum(np.searchsorted(keys, found), max(len(keys) - 1, 0))
+    del rows, hashes
+    size = np.bincount(row, minlength=len(toxic))
+    keys, lift = choose(found, toxic[row] > 0, len(toxic), int(toxic.sum()))
+    at = np.minimum(np.searchsorted(keys, found), max(len(keys) - 1, 0)).astype(np.int32)
     known = keys[at] == found if len(keys) else np.zeros(len(found), bool)
+    del found
     row, column = row[known], at[known]
     if not len(keys):
         return None
     # thirds of the toxic rows, by the share of their features that go with toxic rows
-    size = np.bincount(np.concatenate(rows), minlength=len(toxic))
     share = np.bincount(row, weights=(lift[column] >= 10).astype(float), minlength=len(toxic)) / np.maximum(size, 1)
     cuts = np.quantile(share[toxic == 1], np.arange(1, n_grades - 1) / (n_grades - 1))
     grade = np.where(toxic == 1, 1 + np.searchsorted(cuts, share, side="left"), 0).astype(np.int64)
@@ -179,7 +187,7 @@ def fit_model(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     )
     rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).join(F.broadcast(ids), "k")
     got = rows.groupBy("k").agg(F.max("toxic").alias("toxic"), F.max("t").alias("t")).orderBy("k").collect()  # SAMPLE at most
-    return train([(r.t or "").encode("utf-8", "surrogatepass") for r in got], np.array([min(r.toxic, 1) for r in got], dtype=np.int64))
+    return train([r.t for r in got], np.array([min(r.toxic, 1) for r in got], dtype=np.int64))
 
 
 def score(docs: DataFrame, model: Model | None, text: str = "text", severity: str = "severity", grade: str = "grade") -> DataFrame:
