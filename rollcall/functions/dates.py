@@ -76,6 +76,13 @@ def as_date(day: Column) -> Column:
     return F.when(is_day_text(day), day.try_cast("date"))
 
 
+def rolled_date(day: Column) -> Column:
+    """The day text as a date; months and days beyond their end run on (``2025-02-30`` is March 2)."""
+    year, month, rest = (day.substr(a, n).try_cast("int") for a, n in ((1, 4), (6, 2), (9, 2)))
+    start = F.add_months(F.make_date(year, F.lit(1), F.lit(1)), month - 1)
+    return F.when(is_day_text(day), F.date_add(start, rest - 1))
+
+
 def label_short(day: Column) -> Column:
     return F.date_format(as_date(day), SHORT_PATTERN)
 
@@ -94,7 +101,7 @@ def label_weekday(day: Column) -> Column:
 
 def days_back(day: Column, n: int) -> Column:
     """First day of the ``n`` days that end with ``day``."""
-    return iso_day(F.date_sub(as_date(day), n - 1))
+    return iso_day(F.date_sub(rolled_date(day), n - 1))
 
 
 def day_range(anchor: dt.date | str, n: int = 30) -> list[str]:

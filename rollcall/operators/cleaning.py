@@ -90,18 +90,19 @@ def clean(
     order = order_names(order_by)
     if repeated is None:
         repeated = repeated_keys(df, keys, date_col, order, require_date)
-    groups = repeated.select(*[col(k) for k in keys], "__keep")
+    groups = repeated.select(*[col(k) for k in keys], F.lit(True).alias("__repeated"))
     exempt = _exempt(keys, date_col, require_date)
+    sort = [_collated(date_col), *[col(c) for c in order]]
     if not fits_broadcast(groups):
         # Many repeats: one row per key and task is left before the shuffle.
-        sort = [_collated(date_col), *[col(c) for c in order]]
         earliest = first_per_key(df.filter(~exempt), [col(k) for k in keys], sort)
         return union_rows(df.filter(exempt), earliest)
+    # Rows are told apart by key alone: places may differ between two scans of the same files.
     met = df.join(F.broadcast(groups), list(keys), "left")
-    kept = col("__keep").isNull() | (col("__keep") == order_value(order))
-    if require_date:
-        kept = kept | is_blank_word(col(date_col))
-    return met.filter(kept).select(*[col(c) for c in df.columns])
+    again = col("__repeated").isNotNull() & ~exempt
+    columns = [col(c) for c in df.columns]
+    earliest = first_per_key(met.filter(again).select(*columns), [col(k) for k in keys], sort)
+    return union_rows(met.filter(~again).select(*columns), earliest)
 
 
 def _members(
@@ -112,10 +113,18 @@ def _members(
     order: Sequence[str],
     require_date: bool,
 ) -> DataFrame:
-    rows = df.filter(~_exempt(keys, date_col, require_date))
-    kept = order_value(order) == col("__keep")
-    small = groups.select(*[col(k) for k in keys], "__keep", "__first")
-    joined = join_small(rows, small, keys).withColumn(
+    """Rows of repeated keys with their status.
+
+    They are stored, so that places are compared within one scan of the survey.
+    """
+    small = groups.select(*[col(k) for k in keys], "__first")
+    rows = once(join_small(df.filter(~_exempt(keys, date_col, require_date)), small, keys))
+    place = order_value(order)
+    earliest = rows.groupBy(*[col(k) for k in keys]).agg(
+        F.min_by(place, F.struct(_collated(date_col), place)).alias("__keep")
+    )
+    kept = place == col("__keep")
+    joined = join_small(rows, earliest, keys).withColumn(
         "Status", F.when(kept, KEPT).otherwise(REMOVED)
     )
     return joined.select("Status", *[col(c) for c in df.columns], "__first")

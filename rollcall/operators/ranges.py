@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.columns import col
-from rollcall.functions.dates import days_back, is_day_text
+from rollcall.functions.dates import is_day_text, rolled_date
 from rollcall.functions.numbers import parse_days_option
 from rollcall.operators.participation import PID
 from rollcall.operators.rows import for_participant
@@ -23,14 +23,15 @@ def last_days(
     """Rows of the ``n`` days that end with the newest day of the data.
 
     ``anchor`` gives the daily counts that set the newest day, if not the same.
-    The newest day is a scalar subquery: no join, and nothing goes to the driver.
+    The newest day is a scalar subquery: no join, and nothing goes to the driver. Days
+    of the right shape that are in no calendar run on into the next month or year.
     """
     well_formed = daily.filter(is_day_text(col("day")))
     limit = parse_days_option(n)
     if limit is None:
         return well_formed
     newest = max_day(daily if anchor is None else anchor).scalar()
-    return well_formed.filter(col("day") >= days_back(newest, limit))
+    return well_formed.filter(rolled_date(col("day")) >= F.date_sub(rolled_date(newest), limit - 1))
 
 
 def active_in(df: DataFrame, daily_in_range: DataFrame) -> DataFrame:

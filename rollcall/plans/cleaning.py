@@ -40,7 +40,7 @@ class Cleaning:
     def removed(self) -> DataFrame:
         return c.clean_removed(*self._how, repeated=self.repeated)
 
-    def review(self, groups: int | None = 10) -> DataFrame:
+    def review(self, groups: int | None = None) -> DataFrame:
         return c.clean_review(*self._how, groups=groups, repeated=self.repeated)
 
     def groups(self, limit: int | None = None) -> DataFrame:

@@ -121,6 +121,14 @@ def test_range_is_anchored_on_the_data(done):
     assert ranges.last_days(done.daily, 7).count() == 3
 
 
+def test_newest_day_that_is_in_no_calendar(spark):
+    days = ["2025-08-14", "2025-08-13", "2025-02-30", "junk"]
+    daily = spark.createDataFrame([("p1", d, 1) for d in days[2:]] + [("p1", "2025-02-27", 1)], "ParticipantID string, day string, n int")
+    assert rows(ranges.last_days(daily, 4), "day") == [("2025-02-27",), ("2025-02-30",)]
+    far = spark.createDataFrame([("p1", d, 1) for d in [*days, "2025-13-45"]], "ParticipantID string, day string, n int")
+    assert rows(ranges.last_days(far, 7), "day") == [("2025-13-45",)]
+
+
 def test_active_participants_and_entries_in_range(done):
     in_range = ranges.last_days(done.daily, 1)
     assert rows(ranges.active_in(done.totals, in_range), "ParticipantID") == [("10",)]
