@@ -1,4 +1,4 @@
-"""Removal of repeated runs of lines, by winnowing.
+"""Removal of repeated runs of lines, by winnowing and by stretches.
 
 1.  Each document is cut into lines. A *gram* is the shortest stretch of whole lines from one
     line on that has ``GRAM_WORDS`` words or more; its hash is that of its lines.
@@ -8,12 +8,16 @@
 3.  *Join*: every selected gram meets the first place, by document and line, at which it was
     selected.
 4.  *Extend*: along such a meeting lines are compared both ways until they differ.
-5.  *Delete*: the run goes from the later place; the first place stays.
+5.  *Stretches*: the shortest stretches of whole lines from each line on, and up to each line,
+    that have ``RUN_WORDS`` words or more are grouped by their hash. All but the first place of each
+    are repeats, whatever earlier document they stood in.
+6.  *Delete*: the run goes from the later place; the first place stays.
 
-So a run of ``RUN_WORDS`` words that stood before is always found, one shorter than
-``GRAM_WORDS`` never, and those between depend on the selection. A gram that a third of all
-documents hold meets one first place, however often it occurs; nothing is paired within
-a list.
+Every line of a run of ``RUN_WORDS`` words lies in a stretch that begins at one of its lines or
+ends at one and stays inside it. So such a run goes whole if it stood anywhere before, even where its
+grams first stood in other documents; one shorter than ``GRAM_WORDS`` never goes, and those
+between depend on the selection. A gram or stretch that a third of all documents hold meets one
+first place, however often it occurs; nothing is paired within a list.
 
 Defined results: a null text stays null, an empty one empty; a document all of whose lines
 go keeps an empty text; lines are compared without blanks at their ends; blank lines have no
@@ -57,22 +61,50 @@ def _line_hashes(docs: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def selected_grams(hashed: DataFrame, gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
-    """(k, h, i, g): the lines at which a selected gram begins, and its hash."""
+def _placed(hashed: DataFrame, gram_words: int, run_words: int) -> DataFrame:
+    """A row for each line (k, h) that a stretch begins or ends at. ``best``: (g, i), the gram selected
+    at it. ``onward`` and ``back``: (a, z, s), places of the first and last line, and hash, of the shortest
+    stretch from it and up to it. Null where too few words follow or stand before, or where ``back`` is the
+    ``onward`` of its first line."""
     document = Window.partitionBy("k", "h")
-    rows = hashed.select("k", "h", F.posexplode("lines").alias("i", "line")).select("k", "h", "i", "line.f", "line.w")
+    rows = hashed.select("k", "h", F.posexplode("lines").alias("i", "line"))
+    rows = rows.select("k", "h", "i", "line.pos", "line.f", "line.w")
     before = document.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("c", F.coalesce(F.sum("w").over(before), F.lit(0)))
+    rows = rows.withColumn("c", F.coalesce(F.sum("w").over(before), F.lit(0))).withColumn("d", F.col("c") + F.col("w"))
     gram = document.orderBy("c").rangeBetween(0, gram_words - 1)
     window = document.orderBy("c").rangeBetween(0, run_words - gram_words - 1)
     onwards = document.orderBy("c").rangeBetween(0, run_words - 1)
-    chosen = (
+    upto = document.orderBy("d").rangeBetween(1 - run_words, 0)
+
+    def stretch(a: Column, z: Column, over: Window) -> Column:
+        return F.struct(a.alias("a"), z.alias("z"), F.xxhash64(F.collect_list("f").over(over)).alias("s"))
+
+    starts = F.sum("w").over(onwards) >= run_words
+    ends = F.sum("w").over(upto) - F.col("w") >= run_words  # its first line's own stretch ends sooner
+    return (
         rows.withColumn("g", F.xxhash64(F.collect_list("f").over(gram)))
-        .withColumn("best", F.min(F.struct("g", "i")).over(window))
-        .withColumn("words", F.sum("w").over(onwards))
-        .where(F.col("words") >= run_words)
+        .select(
+            "k",
+            "h",
+            F.when(starts, F.min(F.struct("g", "i")).over(window)).alias("best"),
+            F.when(starts, stretch(F.col("pos"), F.max("pos").over(onwards), onwards)).alias("onward"),
+            F.when(ends, stretch(F.min("pos").over(upto), F.col("pos"), upto)).alias("back"),
+        )
+        .where("onward IS NOT NULL OR back IS NOT NULL")
     )
-    return chosen.select("k", "h", "best.i", "best.g").distinct()
+
+
+def selected_grams(placed: DataFrame) -> DataFrame:
+    """(k, h, i, g): the lines at which a selected gram begins, and its hash."""
+    return placed.where("best IS NOT NULL").select("k", "h", "best.i", "best.g").distinct()
+
+
+def repeated_stretches(placed: DataFrame) -> DataFrame:
+    """(k, h, pos): places of the lines of all stretches that stood before."""
+    stretches = placed.select("k", "h", F.explode(F.array_compact(F.array("onward", "back"))).alias("x")).select("k", "h", "x.*")
+    first = stretches.groupBy("s").agg(F.min(F.struct("k", "h", "a")).alias("p"), F.count("*").alias("n"))
+    later = stretches.join(first.where("n > 1").drop("n"), "s").where(~F.struct("k", "h", "a").eqNullSafe(F.col("p")))
+    return later.select("k", "h", F.explode(F.sequence("a", "z")).alias("pos"))
 
 
 def _same(a: str, b: str) -> Column:
@@ -89,7 +121,8 @@ def repeated_lines(
 ) -> DataFrame:
     """(k, h, gone): per document the places of the lines that repeat an earlier run, sorted."""
     hashed = once(_line_hashes(docs, key, text).distinct())
-    picked = once(selected_grams(hashed, gram_words, run_words))
+    placed = once(_placed(hashed, gram_words, run_words))
+    picked = once(selected_grams(placed))
     first = picked.groupBy("g").agg(F.min(F.struct("k", "h", "i")).alias("p"))
     meetings = (
         picked.join(first, "g")
@@ -128,6 +161,7 @@ def repeated_lines(
             "m.h",
             F.explode(F.sequence(F.get("own", F.col("s.a"))["pos"], F.get("own", F.col("s.z"))["pos"])).alias("pos"),
         )
+        .unionByName(repeated_stretches(placed))
         .groupBy("k", "h")
         .agg(F.sort_array(F.collect_set("pos")).alias("gone"))
     )

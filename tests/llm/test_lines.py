@@ -53,6 +53,23 @@ def test_windows_of_brute_force_all_go(docs):
         assert not gone & {lines.index(x) for x in left}
 
 
+def test_a_run_goes_whole_though_its_grams_stood_elsewhere(docs):
+    rows, want = [], {}
+    for n in range(0, 24, 3):
+        p, q = prose(n + 1, 30), "\n".join(prose(1000 + 10 * n + j, 6) for j in range(5))
+        u, v = ([prose(base + n + j, 40) for j in range(3)] for base in (2000, 3000))
+        rows += [(n, f"{u[0]}\n{p}\n{v[0]}")] + [(n + j, f"{u[j]}\n{p}\n{q}\n{v[j]}") for j in (1, 2)]
+        want[n + 2] = f"{u[2]}\n{v[2]}"
+    got = run(docs(rows))
+    assert {k: got[k] for k in want} == want
+
+
+def test_the_end_of_a_run_goes_too(docs):
+    p, q, tail = prose(1, 30), prose(2, 55), "t1 t2\nt3"
+    rows = [(0, f"a\n{p}\nb"), (1, f"c\n{q}\nd"), (2, f"e\n{p}\n{q}\n{tail}\nf"), (3, f"g\n{p}\n{q}\n{tail}\nh")]
+    assert run(docs(rows))[3] == "g\nh"
+
+
 def test_nulls_copies_and_other_columns(docs):
     text = prose(3, 80)
     rows = [(1, None), (2, ""), (None, text), (None, text), (3, text), (3, text), (4, "\n\n"), (5, "x\n" * 3000)]
