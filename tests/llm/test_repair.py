@@ -1,0 +1,147 @@
+import hashlib
+import heapq
+import random
+import re
+import zlib
+
+import pytest
+
+from rollcall.llm.repair import END, Costs, damage, digests, repair
+
+SCHEMA = "conv_id bigint, turn bigint, role string, text string, conv int, at string, piece int, start int"
+BLANK = r"[\x20\x09-\x0D]"
+
+
+def cheapest(rows):
+    """(cost, audit, repaired turns) by a search over all edits; rows: (role, text, fault)."""
+    best = [(0, "", 0, "", ())]
+    seen = set()
+    while best:
+        cost, audit, i, kinds, said = heapq.heappop(best)
+        if i == len(rows) and re.fullmatch("(s?(ua)+)?", kinds):
+            return cost, audit, list(said)
+        state = kinds[-1:]
+        if (i, state) in seen:
+            continue
+        seen.add((i, state))
+        follows = {"": "su", "s": "u", "u": "a", "a": "u"}[state]
+        for kind, role in (("u", "user"), ("a", "assistant")):
+            if kind in follows:
+                heapq.heappush(best, (cost + 3, audit + "I", i, kinds + kind, (*said, (role, ""))))
+        if i < len(rows):
+            role, text, fault = rows[i]
+            heapq.heappush(best, (cost + 4, audit + "D", i + 1, kinds, said))
+            if fault in ("blank", "duplicate"):
+                continue
+            cost += 3 * (fault == "truncated")
+            if role[:1] and role[:1] in follows:
+                heapq.heappush(best, (cost, audit + "K", i + 1, kinds + role[0], (*said, (role, text))))
+            for kind, new in (("u", "user"), ("a", "assistant")):
+                if kind in follows:
+                    heapq.heappush(best, (cost + 3, audit + "R", i + 1, kinds + kind, (*said, (new, text))))
+    return None
+
+
+def told(turns):
+    """Turns (role, text) with their faults."""
+    seen, out = set(), []
+    for role, text in turns:
+        bare = re.sub(BLANK + "+$", "", text)
+        fault = "blank" if not bare else "duplicate" if (role, text) in seen else "" if bare[-1] in ".!?" else "truncated"
+        seen.add((role, text))
+        out.append((role, text, fault))
+    return out
+
+
+def brute(rows, harm=True):
+    """The query's columns per conversation, from (conv, turn, role, text) without ties of a turn."""
+    out = {}
+    for conv in {r[0] for r in rows}:
+        turns = []
+        for _, turn, role, text in sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is not None, r[1] or 0)):
+            role, text = " " if role is None else role, " " if text is None else text
+            f = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20 if harm else 9
+            if f:
+                text = "" if f == 1 else re.sub("[.!?]", "", text) if f == 2 else text
+                turns += [(turn, "user" if f == 4 else role, text)] * (2 if f == 3 else 1)
+        rated = told([t[1:] for t in turns])
+        cost, audit, said = cheapest(rated)
+        numbers = [t for t, _, _ in turns if t is not None]
+        pairs = [a[0][:1] + b[0][:1] for a, b in zip(rated, rated[1:])]
+        out[conv] = {
+            "gaps": max(numbers) - min(numbers) + 1 - len(set(numbers)) if numbers else 0,
+            **{k: sum(r[2] == k for r in rated) for k in ("blank", "duplicate", "truncated")},
+            "illegal": sum(p not in ("su", "ua", "au") for p in pairs),
+            "cost": cost,
+            "audit": audit,
+            "repaired_sha256": hashlib.sha256("\n".join(f"{r}:{t}" for r, t in said).encode()).hexdigest(),
+        }
+    return out
+
+
+def table(seed, n_convs, longest):
+    rng = random.Random(seed)
+    roles, texts = ["system", "user", "assistant", "user", "assistant", "tool", None, ""], ["Yes.", "No", " ", None, "a!\n", "b?", "so", " ."]
+    rows = []
+    for conv in range(n_convs):
+        turns = rng.sample(range(2 * longest), rng.randint(1, longest))
+        rows += [(conv, t, rng.choice(roles), rng.choice(texts) if rng.random() < 0.5 else f"{t} said.") for t in turns]
+    return rows
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(*r, 1, "x", 2, 3) for r in rows], SCHEMA).repartition(3)
+
+
+def results(df, done):
+    return {r.conv_id: {k: v for k, v in r.asDict().items() if k != "conv_id"} for r in digests(df, done).collect()}
+
+
+@pytest.mark.parametrize("piece_bits", [12, 1])
+def test_query_against_all_edits(spark, piece_bits):
+    rows = table(5, 40, 12) + [(None, 1, "user", "lost?"), (None, 2, "assistant", "no."), (900, None, "user", "hm"), (901, None, None, None)]
+    df = frame(spark, rows)
+    assert results(df, repair(damage(df), piece_bits=piece_bits)) == brute(rows)
+
+
+def test_pieces_of_one_long_conversation_make_one_repair(spark):
+    rng = random.Random(3)
+    rows = [(1, i, rng.choice(["user", "assistant", "assistant", "system", "tool"]), rng.choice([f"{i}.", f"{i}", "again.", ""])) for i in range(3000)]
+    df = frame(spark, rows)
+    got = results(df, repair(df, piece_bits=4))
+    assert got == results(df, repair(df)) == brute(rows, harm=False)
+
+
+def test_checkpoints_do_not_change_the_walk():
+    rng, costs = random.Random(9), Costs()
+    for n in (0, 1, 2, 3, 50, 401):
+        codes = "".join(rng.choice("suaouaSUAOx") for _ in range(n))
+        cost, edits, _, state = costs.forward(codes, 0, END)
+        behind, plain, q = [END], [], 0
+        for c in reversed(codes):
+            behind.append(costs._full(c, behind[-1]))
+        for i, c in enumerate(codes):
+            e, _, q = costs.walk(c, behind[n - 1 - i], q)
+            plain.append(e)
+        assert edits == plain and state == q and cost == behind[-1][0]
+
+
+def test_edits_name_every_turn(spark):
+    df = frame(spark, [(1, 0, "user", "Hi."), (1, 0, "user", "Hi."), (1, 1, "user", "So?"), (2, 5, "tool", "3")])
+    done = repair(df)
+    rows = sorted((r.conv, r.start, r.seq, r.edit, r.role, r.text) for r in done.edits.collect())
+    assert [r[:1] + r[3:] for r in rows] == [(1, "K", "user", "Hi."), (1, "D", "user", "Hi."), (1, "R", "assistant", "So?"), (2, "D", "tool", "3")]
+    assert results(df, done)[1]["cost"] == 7
+
+
+def test_empty_table_and_all_turns_dropped(spark):
+    assert results(frame(spark, []), repair(frame(spark, []))) == {}
+    gone = next(t for t in range(1000) if zlib.crc32(f"7:{t}".encode()) % 20 == 0)
+    df = frame(spark, [(7, gone, "user", "x")])
+    want = {"gaps": 0, "blank": 0, "duplicate": 0, "truncated": 0, "illegal": 0, "cost": 0, "audit": "", "repaired_sha256": hashlib.sha256(b"").hexdigest()}
+    assert results(df, repair(damage(df))) == {7: want}
+
+
+def test_very_long_text(spark):
+    df = frame(spark, [(1, 0, "user", "x " * 500_000 + "."), (1, 1, "assistant", " " * 500_000 + "y.")])
+    assert results(df, repair(df))[1]["audit"] == "KK"
