@@ -75,13 +75,34 @@ def order_names(order_by: str | Sequence[str] | None) -> list[str]:
     return names
 
 
+#: Rows that a file can have; the place of a row among all files is a number with this base.
+_ROWS = "9223372036854775808"
+
+
 def order_value(order_by: Sequence[str]) -> Column:
-    """The ordering columns as one comparable value."""
+    """The ordering columns as one comparable value.
+
+    The file readers' two ordinals make one number: its least value is kept in the buffer of a hash
+    aggregate, where that of a struct would need all rows sorted.
+    """
     if len(order_by) == 1:
         return col(order_by[0])
+    if tuple(order_by) == ORD:
+        return col(FILE_ORD).cast("decimal(38,0)") * F.lit(_ROWS).cast("decimal(19,0)") + col(ROW_ORD)
     return F.struct(*[col(c) for c in order_by])
 
 
+def order_parts(order_by: Sequence[str], place: Column) -> dict[str, Column]:
+    """The ordering columns from their value."""
+    if len(order_by) == 1:
+        return {order_by[0]: place}
+    if tuple(order_by) == ORD:
+        base = F.lit(_ROWS).cast("decimal(19,0)")
+        row = place % base
+        return {FILE_ORD: ((place - row) / base).cast("int"), ROW_ORD: row.cast("bigint")}
+    return {c: place.getField(c) for c in order_by}
+
+
 def norm_header(header: str) -> str:
     """Header text reduced to the form in which headers are compared."""
     bare = (header or "").removeprefix("\ufeff").strip(BLANK_CHARS).lower()

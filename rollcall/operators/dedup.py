@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollcall.columns import DEFAULT_COLUMNS, FILE_ORD, ORD, col, order_names, order_value
+from rollcall.columns import DEFAULT_COLUMNS, FILE_ORD, ORD, col, order_names, order_parts, order_value
 from rollcall.operators.rows import ensure_columns
 from rollcall.operators.sets import union_rows
 
@@ -75,9 +75,9 @@ def _dedup_identical(df: DataFrame, order: Sequence[str], keep: str) -> DataFram
     pick = F.min if keep == "first" else F.max
     place = pick(order_value(order)).alias("__ord")
     grouped = df.groupBy(*[key_value(df, c).alias(c) for c in rest]).agg(place)
-    parts = {c: col("__ord") if len(order) == 1 else F.col("__ord").getField(c) for c in order}
+    parts = order_parts(order, col("__ord"))
     return grouped.select(
-        *[parts[c].alias(c) if c in parts else col(c) for c in df.columns]
+        *[parts[c].cast(df.schema[c].dataType).alias(c) if c in parts else col(c) for c in df.columns]
     )
 
 

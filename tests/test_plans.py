@@ -1,7 +1,7 @@
 """Shapes of physical plans that matter at scale."""
 
 import pytest
-from conftest import plan
+from conftest import plan, rows
 from pyspark.sql import functions as F
 
 from rollcall.operators import dedup as d
@@ -104,3 +104,19 @@ def test_hot_participant_is_one_row_per_day(spark):
     daily = p.daily_entries(survey)
     assert daily.filter("ParticipantID = 'hot'").count() == 5
     assert p.total_entries(daily).filter("ParticipantID = 'hot'").first().TotalEntries == 10_000
+
+
+def test_file_ordinals_are_aggregated_without_a_sort(spark, stored):
+    from rollcall.columns import ORD
+    from rollcall.operators.rows import first_seen
+
+    df = stored.withColumn("_file_ord", F.lit(1))
+    for done in (
+        p.daily_entries(df, order_by=ORD),
+        p.daily_audio(df, order_by=ORD),
+        first_seen(df, "ParticipantID", ORD),
+        d.sample_ids(df, order_by=ORD),
+        d.dedup(df, None, ORD),
+    ):
+        assert "SortAggregate" not in plan(done) and "HashAggregate" in plan(done)
+    assert rows(d.dedup(df, None, ORD)) == rows(d.dedup(df, None, ["_row_ord"]))
