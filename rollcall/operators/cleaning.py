@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from rollcall.columns import DEFAULT_COLUMNS, ORD, col, order_names, order_value, require_columns
 from rollcall.functions.text import has_blank_key, is_blank_word
 from rollcall.operators.dedup import first_per_key
-from rollcall.operators.joins import fits_broadcast, join_small
+from rollcall.operators.joins import fits_broadcast, join_aggregate, join_small
 from rollcall.operators.sets import union_rows
 from rollcall.session import once
 
@@ -105,29 +105,29 @@ def clean(
     return union_rows(met.filter(~again).select(*columns), earliest)
 
 
-def _members(
+def members(
     df: DataFrame,
     groups: DataFrame,
-    keys: Sequence[str],
-    date_col: str,
-    order: Sequence[str],
-    require_date: bool,
+    keys: Sequence[str] = KEYS,
+    date_col: str = DEFAULT_COLUMNS.date,
+    order_by: Sequence[str] = ORD,
+    require_date: bool = False,
 ) -> DataFrame:
-    """Rows of repeated keys with their status.
+    """Rows of repeated keys with their status and the first place of their key.
 
-    They are stored, so that places are compared within one scan of the survey.
+    They are stored, whole rows, so that places are compared within one scan of the survey. The place that
+    stays is computed before it meets the rows, and a key with very many of them is split.
     """
+    order = order_names(order_by)
     small = groups.select(*[col(k) for k in keys], "__first")
     rows = once(join_small(df.filter(~_exempt(keys, date_col, require_date)), small, keys))
     place = order_value(order)
     earliest = rows.groupBy(*[col(k) for k in keys]).agg(
         F.min_by(place, F.struct(_collated(date_col), place)).alias("__keep")
     )
-    kept = place == col("__keep")
-    joined = join_small(rows, earliest, keys).withColumn(
-        "Status", F.when(kept, KEPT).otherwise(REMOVED)
-    )
-    return joined.select("Status", *[col(c) for c in df.columns], "__first")
+    status = F.when(place == col("__keep"), KEPT).otherwise(REMOVED)
+    joined = join_aggregate(rows, earliest, keys)
+    return joined.select(status.alias("Status"), *[col(c) for c in df.columns], "__first")
 
 
 def clean_removed(
@@ -137,13 +137,14 @@ def clean_removed(
     order_by: Sequence[str] = ORD,
     require_date: bool = False,
     repeated: DataFrame | None = None,
+    marked: DataFrame | None = None,
 ) -> DataFrame:
-    """The rows that ``clean`` leaves out."""
-    order = order_names(order_by)
-    if repeated is None:
-        repeated = repeated_keys(df, keys, date_col, order, require_date)
-    members = _members(df, repeated, keys, date_col, order, require_date)
-    return members.filter(col("Status") == REMOVED).drop("Status", "__first")
+    """The rows that ``clean`` leaves out. ``marked``: the rows of repeated keys, if known already."""
+    if marked is None:
+        if repeated is None:
+            repeated = repeated_keys(df, keys, date_col, order_by, require_date)
+        marked = members(df, repeated, keys, date_col, order_by, require_date)
+    return marked.filter(col("Status") == REMOVED).drop("Status", "__first")
 
 
 def clean_review(
@@ -154,23 +155,24 @@ def clean_review(
     require_date: bool = False,
     groups: int | None = None,
     repeated: DataFrame | None = None,
+    marked: DataFrame | None = None,
 ) -> DataFrame:
     """All rows of repeated keys with their status, groups as first seen.
 
     ``groups`` limits the report to the groups that come first.
     """
     order = order_names(order_by)
-    if repeated is None:
+    if repeated is None and (marked is None or groups is not None):
         repeated = repeated_keys(df, keys, date_col, order, require_date)
-    shown = repeated
     if groups is not None:
-        shown = shown.orderBy("__first").limit(groups)
-    # The sort samples its input first. Spread by place, the few rows shown are read
-    # from this shuffle both times, and the survey is not scanned twice.
-    members = _members(df, shown, keys, date_col, order, require_date)
-    members = members.repartition(*[col(c) for c in order])
+        shown = repeated.orderBy("__first").limit(groups)
+        marked = members(df, shown, keys, date_col, order, require_date)
+    elif marked is None:
+        marked = members(df, repeated, keys, date_col, order, require_date)
+    # The sort samples its input first. Spread by place, the rows shown are read from this shuffle both times.
+    spread = marked.repartition(*[col(c) for c in order])
     place = [col("__first"), col("Status"), _collated(date_col), *[col(c) for c in order]]
-    return members.orderBy(*place).drop("__first")
+    return spread.orderBy(*place).drop("__first")
 
 
 def duplicate_groups(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rollcall.columns import col
+from rollcall.session import once
 
 #: Most bytes of rows that are sent to every executor.
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -37,3 +38,12 @@ def join_small(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str =
     very many rows is split among tasks by the adaptive skew join.
     """
     return df.join(F.broadcast(small) if fits_broadcast(small) else small, list(keys), how)
+
+
+def join_aggregate(rows: DataFrame, aggregate: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join rows to an aggregate made from them by the same keys.
+
+    The aggregate is computed first. Planned together, both would share one shuffle with the aggregate
+    between it and the join, and a join with anything below it but a shuffle is not split at hot keys.
+    """
+    return join_small(rows, once(aggregate), keys, how)

@@ -17,7 +17,7 @@ class Cleaning:
     """Cleaned rows, removed rows, review and figures.
 
     The repeated keys are found when the first result is asked for, and shared by
-    all of them.
+    all of them; so are the marked rows of these keys.
     """
 
     survey: DataFrame
@@ -37,11 +37,18 @@ class Cleaning:
     def cleaned(self) -> DataFrame:
         return c.clean(*self._how, repeated=self.repeated)
 
+    @cached_property
+    def _marked(self) -> DataFrame:
+        survey, keys, date_col, order_by, require_date = self._how
+        return c.members(survey, self.repeated, keys, date_col, order_by, require_date)
+
     def removed(self) -> DataFrame:
-        return c.clean_removed(*self._how, repeated=self.repeated)
+        return c.clean_removed(*self._how, marked=self._marked)
 
     def review(self, groups: int | None = None) -> DataFrame:
-        return c.clean_review(*self._how, groups=groups, repeated=self.repeated)
+        if groups is not None:
+            return c.clean_review(*self._how, groups=groups, repeated=self.repeated)
+        return c.clean_review(*self._how, marked=self._marked)
 
     def groups(self, limit: int | None = None) -> DataFrame:
         return c.duplicate_groups(*self._how, limit=limit, repeated=self.repeated)
