@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,7 +12,7 @@ from rollcall.operators.dedup import dedup, dedup_stats
 from rollcall.operators.rows import ensure_columns, keys_first
 from rollcall.operators.sets import union_all
 from rollcall.sources.csv import CsvFormat, Loaded, read_many
-from rollcall.sources.files import discover
+from rollcall.sources.files import find_files
 
 
 @dataclass(frozen=True)
@@ -45,8 +45,9 @@ def collate(
     on_error: str = "skip",
 ) -> Collated:
     """Find, read and stack CSV files, then keep one row per key."""
-    paths = discover(spark, inputs, pattern, recursive)
-    loaded = read_many(spark, paths, fmt, on_error)
+    found = find_files(spark, inputs, pattern, recursive, on_error)
+    loaded = read_many(spark, found.paths, fmt, on_error)
+    loaded = replace(loaded, skipped={**found.skipped, **loaded.skipped})
     done = _one_per_key(loaded.df, keys, ORD, keep, empty_keys)
     return Collated(done.df, done.stats, loaded)
 

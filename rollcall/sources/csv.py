@@ -8,21 +8,20 @@ distinct header and stacks the scans by name.
 from __future__ import annotations
 
 import csv as _csv
+import io
+import re
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rollcall.columns import FILE_ORD, ORD, ROW_ORD, col
 from rollcall.functions.text import BLANK_CHARS, empty_default, ws_trim
 from rollcall.operators.sets import check_case, union_rows
-from rollcall.sources.files import literal_path
-
-#: Paths are joined to their scan by broadcast while they take less than this.
-BROADCAST_PATHS_BYTES = 32 * 1024 * 1024
+from rollcall.sources.files import literal_path, plain_path, read_head
 
 
 @dataclass(frozen=True)
@@ -66,28 +65,8 @@ class Loaded:
     skipped: dict[str, str] = field(default_factory=dict)
 
 
-def _probe(
-    spark: SparkSession, path: str, ord_: int, fmt: CsvFormat, read_path: str | None = None
-) -> SourceFile:
-    """Header, size and location of one file, from its first lines only."""
-    read_path = read_path or literal_path(path)
-    meta = ["_metadata.file_path", "_metadata.file_size"]
-    options = {**fmt.options(), "header": False}
-    if fmt.options()["encoding"].upper() == "UTF-8":
-        lines = spark.read.text(read_path).select("value", *meta)
-        first = lines.filter(F.length(ws_trim(F.col("value"))) > 0).head(1)
-        if not first:
-            return SourceFile(path, ord_)
-        line, uri, size = first[0]
-        if line.count('"') % 2 == 0:
-            fields = next(_csv.reader([line], delimiter=fmt.sep))
-            return SourceFile(path, ord_, _names(fields, fmt), uri, size)
-    # A quoted name that spans lines, or another encoding: let the CSV reader do it.
-    raw = spark.read.options(**options).csv(read_path)
-    if not raw.columns:
-        return SourceFile(path, ord_)
-    *fields, uri, size = raw.select("*", *meta).head()
-    return SourceFile(path, ord_, _names(fields, fmt), uri, size)
+def _fields(head: str | None, fmt: CsvFormat) -> tuple[str, ...]:
+    return () if head is None else _names(next(_csv.reader(io.StringIO(head, newline=""), delimiter=fmt.sep)), fmt)
 
 
 def _names(fields: Sequence[str | None], fmt: CsvFormat) -> tuple[str, ...]:
@@ -104,11 +83,16 @@ def probe_files(
     on_error: str = "skip",
     workers: int = 16,
 ) -> tuple[list[SourceFile], dict[str, str]]:
-    """Headers of many files, some at a time, and the reason for each unreadable one."""
+    """Headers of many files, and the reason for each unreadable one.
+
+    Like the footers of a Parquet folder, headers are looked at from the driver, several files at
+    a time and no more of each than its head: no job runs, whatever the number and size of the files.
+    """
 
     def one(item: tuple[int, str]) -> SourceFile | Exception:
         try:
-            return _probe(spark, item[1], item[0], fmt)
+            head = read_head(spark, item[1], fmt.options()["encoding"], BLANK_CHARS)
+            return SourceFile(item[1], item[0], _fields(head.line, fmt), head.uri, head.size)
         except Exception as error:  # noqa: BLE001 - reported or raised below
             if on_error != "skip":
                 raise
@@ -117,10 +101,16 @@ def probe_files(
     with ThreadPoolExecutor(max_workers=max(1, min(workers, len(paths)))) as pool:
         found = list(pool.map(one, enumerate(paths)))
     files = [f for f in found if isinstance(f, SourceFile)]
-    skipped = {p: str(f).split("\n")[0] for p, f in zip(paths, found) if isinstance(f, Exception)}
+    skipped = {p: _reason(f) for p, f in zip(paths, found) if isinstance(f, Exception)}
     return files, skipped
 
 
+def _reason(error: Exception) -> str:
+    """What went wrong, without the trace and the name of the call."""
+    lines = [x for x in str(error).split("\n") if x.strip() and not x.startswith("An error occurred while calling")]
+    return lines[0].removeprefix(": ") if lines else type(error).__name__
+
+
 def headers(
     spark: SparkSession, paths: Sequence[str], fmt: CsvFormat = CsvFormat()
 ) -> dict[str, list[str]]:
@@ -146,22 +136,35 @@ def _positional(header: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(header))])
 
 
+def _one_slash(uri: str) -> str:
+    return re.sub("^file:/+", "file:/", uri)
+
+
 def with_ord(scan: DataFrame, files: Sequence[SourceFile]) -> DataFrame:
-    """File and row ordinals. Must sit directly on the scan.
+    """The place of each row: that of its file among the inputs, and its number inside the file.
 
-    Spark cuts a file into partitions in the order of its bytes, so the growing
-    id follows the rows of a file. The position of the file comes from its path.
+    Must sit directly on the scan. Spark reads a file in splits; the rows before each split are
+    counted by the same scan without its columns, so numbers do not depend on how files are cut.
+    The two small tables that are broadcast hold a row per file and per split, which the
+    driver lists anyway to plan the scan.
     """
-    scan = scan.withColumn(ROW_ORD, F.monotonically_increasing_id())
-    if len(files) == 1:
-        return scan.withColumn(FILE_ORD, F.lit(files[0].ord))
     spark = scan.sparkSession
-    rows = [(f.uri, f.ord) for f in files]
-    places = spark.createDataFrame(rows, f"__uri string, {FILE_ORD} int")
-    if sum(len(f.uri) + 16 for f in files) < BROADCAST_PATHS_BYTES:
-        places = F.broadcast(places)
-    located = scan.withColumn("__uri", F.col("_metadata.file_path"))
-    return located.join(places, "__uri").drop("__uri")
+    names = spark.createDataFrame([(_one_slash(f.uri), f.ord) for f in files], f"__uri string, {FILE_ORD} int")
+    placed = scan.withColumns(
+        {
+            "__id": F.monotonically_increasing_id(),
+            "__uri": F.regexp_replace("_metadata.file_path", "^file:/+", "file:/"),
+            "__begin": F.col("_metadata.file_block_start"),
+        }
+    )
+    splits = placed.groupBy("__uri", "__begin").agg(F.count(F.lit(1)).alias("__n"), F.min("__id").alias("__first"))
+    before = Window.partitionBy("__uri").orderBy("__begin").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    starts = starts.join(F.broadcast(names), "__uri")
+    numbered = placed.join(F.broadcast(starts), ["__uri", "__begin"])
+    return numbered.withColumn(ROW_ORD, F.col("__id") - F.col("__first") + F.col("__before")).drop(
+        "__id", "__uri", "__begin", "__first", "__before"
+    )
 
 
 def _scan(
@@ -223,19 +226,21 @@ def read_csv(
 ) -> DataFrame:
     """Read one file, or a directory or list of files that share one header.
 
-    One look at the first header and one scan, however many files there are. A
-    file with another header fails the read; use ``read_many`` for such files.
+    All headers are looked at first, and one scan reads all files; columns are bound by position, so a header
+    may hold blank or padded names. A file with another header is an error; use ``read_many`` for such files.
     """
     fmt = CsvFormat(sep, encoding, trim, multiline)
-    start = path if isinstance(path, str) else path[0]
-    first = _probe(spark, start, 0, fmt, read_path=start)
-    if not first.header:
+    paths = sorted(plain_path(uri) for uri in spark.read.text(path).inputFiles())
+    files = [f for f in probe_files(spark, paths, fmt, on_error="raise")[0] if f.header]
+    if not files:
         return spark.createDataFrame([], T.StructType([]))
-    _header_columns(first.header, fmt)
-    schema = T.StructType([T.StructField(h, T.StringType()) for h in first.header])
-    reader = spark.read.schema(schema).options(**fmt.options(), header=True, enforceSchema=False)
-    raw = reader.csv(path)
-    return raw.select(*[_text(col(h), fmt).alias(h) for h in first.header])
+    header = files[0].header
+    other = [f.path for f in files if f.header != header]
+    if other:
+        raise ValueError(f"{other[0]} has another header than {files[0].path}")
+    _header_columns(header, fmt)
+    raw = spark.read.schema(_positional(header)).options(**fmt.options(), header=True).csv(path)
+    return raw.select(*[_text(F.col(f"_c{i}"), fmt).alias(h) for i, h in enumerate(header)])
 
 
 def file_inventory(loaded: Loaded) -> DataFrame:

@@ -1,12 +1,15 @@
 import gzip
+import os
+import random
 
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from rollcall.operators.rows import in_input_order
+from rollcall.plans.collate import collate
 from rollcall.sources import csv as c
-from rollcall.sources.files import discover, unique_paths
+from rollcall.sources.files import HIDDEN, NOTHING, OTHER_SUFFIX, discover, find_files, unique_paths
 from rollcall.sources.typed_json import first_tag_value, flatten_typed_json
 
 
@@ -161,15 +164,80 @@ def test_discover(spark, put, tmp_path):
     assert unique_paths(["x", "y", "x"]) == ["x", "y"]
 
 
-def test_discover_relative(spark, put, tmp_path, monkeypatch):
-    from rollcall.sources import files
+def test_discover_relative(spark, put, tmp_path):
+    put("d/a.csv", "a\n1\n")
+    below = os.path.relpath(tmp_path)
+    for given in (f"{below}/d", f"{below}/d/a.csv", f"{below}/*/a.csv"):
+        assert discover(spark, given) == [f"{tmp_path}/d/a.csv"]
 
+
+def test_no_input_is_dropped_unreported(spark, put, tmp_path):
+    for name in ("a.csv", "_x.csv", ".x.csv", "n.txt", "_t/b.csv", "x[1].csv"):
+        put(name, "a\n1\n")
     base = str(tmp_path)
-    assert files._names(f"{base}/d/a.csv", "d/a.csv") and files._names(f"{base}/d", "d")
-    assert not files._names(f"{base}/d/e", "d")
-    assert files._same_depth(f"{base}/d/a.csv", "d/*.csv")
-    assert not files._same_depth(f"{base}/d/e/a.csv", "d/*.csv")
-    assert files._inside("hdfs://host:9/x/y") == "/x/y" and files._inside("./x") == "x"
+    found = find_files(spark, [base, f"{base}/x[1].csv", f"{base}/gone.csv", f"{base}/n.txt", f"{base}/q*.csv", f"{base}/_x.csv"], recursive=True)
+    assert found.paths == [f"{base}/a.csv", f"{base}/x[1].csv"]
+    assert found.skipped == {
+        f"{base}/_x.csv": HIDDEN,
+        f"{base}/.x.csv": HIDDEN,
+        f"{base}/_t/b.csv": HIDDEN,
+        f"{base}/gone.csv": NOTHING,
+        f"{base}/n.txt": OTHER_SUFFIX,
+        f"{base}/q*.csv": NOTHING,
+    }
+    fates = found.frame(spark)
+    assert fates.columns == ["input", "path", "fate"] and fates.where("fate = 'given before'").count() == 1
+    with pytest.raises(FileNotFoundError, match="gone.csv"):
+        find_files(spark, [f"{base}/a.csv", f"{base}/gone.csv"], on_error="raise")
+    merged = collate(spark, [base, f"{base}/gone.csv"], keys=None)
+    assert set(merged.loaded.skipped) == {f"{base}/_x.csv", f"{base}/.x.csv", f"{base}/gone.csv"}
+    with pytest.raises(FileNotFoundError):
+        collate(spark, [base, f"{base}/gone.csv"], keys=None, on_error="raise")
+
+
+def _jobs(spark, work):
+    """Jobs that ``work`` runs."""
+    spark.sparkContext.setJobGroup("counted", "")
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup("counted"))
+    try:
+        work()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup("counted")) - before
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+
+
+def test_headers_of_many_files_take_no_job(spark, put):
+    paths = [put(f"{i:02}.csv", f"a,b{i % 3}\n1,2\n") for i in range(40)]
+    assert _jobs(spark, lambda: c.probe_files(spark, paths)) == 0
+    assert _jobs(spark, lambda: spark.range(3).count()) > 0
+    found = c.headers(spark, paths)
+    assert [found[p] for p in paths] == [["a", f"b{i % 3}"] for i in range(40)]
+
+
+def test_header_scan_stops_after_the_header(spark, put):
+    """The tail of this file cannot be read, so a scan that went on would fail."""
+    digits = random.Random(1).randbytes(25_000_000).hex(",", 20).replace(",", "\n")
+    whole = gzip.compress(b"a,b\n" + digits.encode(), 1)
+    path = put("cut.csv.gz", whole[: len(whole) // 2])
+    assert c.headers(spark, [path]) == {path: ["a", "b"]}
+    with pytest.raises(Exception):
+        c.read_csv(spark, path).count()
+
+
+def test_headers_with_blank_and_padded_names(spark, put):
+    assert c.read_csv(spark, put("b.csv", "a,,b\n1,2,3\n")).columns == ["a", "_c1", "b"]
+    df = c.read_csv(spark, put("p.csv", '" a ",b\n1, 2 \n'))
+    assert df.columns == ["a", "b"] and rows(df) == [("1", "2")]
+    other = put("q.csv", "a,c\n1,2\n")
+    with pytest.raises(ValueError, match="another header"):
+        c.read_csv(spark, [put("p.csv", "a,b\n1,2\n"), other])
+
+
+def test_headers_in_another_encoding(spark, put):
+    paths = [put("u.csv", "é;b\n1;2\n".encode("utf-16-le")), put("v.csv", '"x\ny";é\n3;4\n'.encode("utf-16-le")), put("w.csv", b"")]
+    loaded = c.read_many(spark, paths, c.CsvFormat(sep=";", encoding="UTF-16LE"))
+    assert [f.header for f in loaded.files] == [("é", "b"), ("x\ny", "é"), ()]
+    assert rows(loaded.df, "é", "b", "x\ny") == [("1", "2", ""), ("4", "", "3")]
 
 
 LINE = '{"ParticipantID":{"S":"p1"},"n":{"N":"5"},"flag":true,"z":null,"l":{"L":[{"S":"a"}]},"e":{}}'
@@ -190,3 +258,31 @@ def test_typed_json_edges(spark):
     assert rows(flat) == [(0, '{"S":"x"}', "[1,2]"), (1, "{x", None)]
     tags = spark.createDataFrame([('{"A":"1","B":"2"}',), ("{}",), (None,)], "v string")
     assert rows(tags.select(first_tag_value(F.col("v")))) == sorted([("1",), (None,), (None,)], key=repr)
+
+
+def test_row_numbers_do_not_depend_on_the_splits(spark, put):
+    """One file cut into many splits, small files packed together, and lines of several rows."""
+    paths = [put("big.csv", "k,v\n" + "".join(f"{i},{'x' * (i % 40)}\n" for i in range(5000)))]
+    paths += [put(f"s{i}.csv", f"k\n{i}\n{i}b\n") for i in range(5)]
+    seen = []
+    for bytes_, multiline in (("4096", False), ("1000000", False), ("4096", True)):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", bytes_)
+        try:
+            df = c.read_many(spark, paths, c.CsvFormat(multiline=multiline)).df
+            seen.append(rows(df, "_file_ord", "_row_ord", "k"))
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert seen[0] == seen[1] == seen[2]
+    assert [r for r in seen[0] if r[0] == 0] == sorted(((0, i, str(i)) for i in range(5000)), key=repr)
+    assert [r for r in seen[0] if r[0] == 3] == [(3, 0, "2"), (3, 1, "2b")]
+
+
+@pytest.mark.parametrize("n", ["1", "7"])
+def test_row_numbers_at_two_partition_counts(spark, put, n):
+    path = put("p.csv", "k\n" + "".join(f"{i}\n" for i in range(3000)))
+    spark.conf.set("spark.sql.files.minPartitionNum", n)
+    try:
+        df = c.read_many(spark, [path], c.CsvFormat(multiline=False)).df
+        assert all(int(r.k) == r._row_ord for r in df.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
