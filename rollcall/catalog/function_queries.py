@@ -30,19 +30,58 @@ def event_day_utc(spark, sf_dir):
     return survey(spark, sf_dir).select("_row_ord", dates.event_day(F.col("RespondedAt"), "utc").alias("day"))
 
 
-@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
+# Ways to write a day, and how many days later it is in UTC.
+WRITTEN = [
+    ("yyyy-MM-dd", "", 0),
+    ("M/d/yyyy", "", 0),
+    ("MMM d, yyyy", "", 0),
+    ("d MMM yyyy", "", 0),
+    ("MMMM d, yyyy", "", 0),
+    ("M/d/yyyy", ", 11:05:00 PM", 0),
+    ("M/d/yyyy", " 3:05 PM", 0),
+    ("yyyy/MM/dd", "", 0),
+    ("d MMMM yyyy", "", 0),
+    ("M-d-yyyy", " 23:59", 0),
+    ("EEE, d MMM yyyy", " 10:00:00 GMT", 0),
+    ("EEE MMM dd yyyy", " 00:30:00 GMT+0200 (CEST)", -1),
+    ("EEE MMM dd yyyy", " 23:30:00 GMT-0130 (NDT)", 1),
+    ("yyyy-MM-dd", "T23:30:00-03:00", 1),
+]
+
+
+@query(
+    "SELECT o_orderkey, strftime(CAST(o_orderdate AS DATE) + CASE o_orderkey % 14"
+    " WHEN 11 THEN -1 WHEN 12 THEN 1 WHEN 13 THEN 1 ELSE 0 END, '%Y-%m-%d') AS day FROM orders"
+)
 def event_day_free_form(spark, sf_dir):
-    """Order dates written in five ways, by order key, and read back."""
+    """Order dates written in as many ways as browsers do, by order key, and read back in UTC."""
     day = F.col("o_orderdate")
-    written = [
-        F.date_format(day, pattern)
-        for pattern in ("yyyy-MM-dd", "M/d/yyyy", "MMM d, yyyy", "d MMM yyyy", "MMMM d, yyyy")
-    ]
+    written = [F.concat(F.date_format(day, pattern), F.lit(time)) for pattern, time, _ in WRITTEN]
     which = (F.col("o_orderkey") % len(written) + 1).cast("int")
     shown = F.element_at(F.array(*written), which)
     return table(spark, sf_dir, "orders").select("o_orderkey", dates.event_day(shown, "utc").alias("day"))
 
 
+HARMED = """
+harmed AS (
+  SELECT QuestionsType AS kind, CASE WHEN _row_ord % 7 = 0 THEN NULL WHEN _row_ord % 7 = 1 THEN 'x' ELSE 'day' END AS day
+  FROM survey WHERE QuestionsType IN ('end_time', 'textaudio', 'audio'))"""
+
+
+@query(
+    with_(SURVEY, HARMED)
+    + "SELECT kind, count(*) AS rows, count(*) FILTER (day IS NULL) AS without_day,"
+    " count(*) FILTER (day = 'x') AS malformed FROM harmed GROUP BY kind"
+)
+def stats_rejects(spark, sf_dir):
+    """Every seventh time cannot be read, and every seventh is a day of odd shape; both are counted by the one pass."""
+    df = survey(spark, sf_dir)
+    for name in ("Response", "RespondedAt"):
+        odd = F.when(F.col("_row_ord") % 7 == 0, "soon").when(F.col("_row_ord") % 7 == 1, "2024-1-5T08:00").otherwise(F.col(name))
+        df = df.withColumn(name, odd)
+    return Participation(df, ORDER).rejects()
+
+
 def _order_days(spark, sf_dir, **labels):
     day = dates.iso_day(F.col("o_orderdate"))
     out = [f(day).alias(name) for name, f in labels.items()]
@@ -54,24 +93,35 @@ def iso_day(spark, sf_dir):
     return _order_days(spark, sf_dir, day=lambda d: d)
 
 
-@query("SELECT o_orderkey, strftime(o_orderdate, '%b %-d') AS label FROM orders")
+# Days of any month up to the 31st, so also February 30; weekdays are counted on into March.
+_SHOWN = "strftime(o_orderdate, '%Y-%m-') || lpad(CAST(o_orderkey % 31 + 1 AS VARCHAR), 2, '0')"
+_LABELS = f"WITH d AS (SELECT o_orderkey, o_orderkey % 31 + 1 AS nr, o_orderdate, {_SHOWN} AS day FROM orders) SELECT o_orderkey, day, "
+
+
+def _shown_days(spark, sf_dir, label):
+    number = F.lpad((F.col("o_orderkey") % 31 + 1).cast("string"), 2, "0")
+    days = table(spark, sf_dir, "orders").withColumn("day", F.concat(F.date_format("o_orderdate", "yyyy-MM-"), number))
+    return days.select("o_orderkey", "day", label(F.col("day")).alias("label"))
+
+
+@query(_LABELS + "strftime(o_orderdate, '%b ') || CAST(nr AS VARCHAR) AS label FROM d")
 def label_short(spark, sf_dir):
-    return _order_days(spark, sf_dir, label=dates.label_short)
+    return _shown_days(spark, sf_dir, dates.label_short)
 
 
-@query("SELECT o_orderkey, CAST(day(o_orderdate) AS INTEGER) AS label FROM orders")
+@query(_LABELS + "CAST(nr AS INTEGER) AS label FROM d")
 def label_day(spark, sf_dir):
-    return _order_days(spark, sf_dir, label=dates.label_day)
+    return _shown_days(spark, sf_dir, dates.label_day)
 
 
-@query("SELECT o_orderkey, strftime(o_orderdate, '%b') AS label FROM orders")
+@query(_LABELS + "strftime(o_orderdate, '%b') AS label FROM d")
 def label_month(spark, sf_dir):
-    return _order_days(spark, sf_dir, label=dates.label_month)
+    return _shown_days(spark, sf_dir, dates.label_month)
 
 
-@query("SELECT o_orderkey, left(dayname(o_orderdate), 1) AS label FROM orders")
+@query(_LABELS + "left(dayname(CAST(date_trunc('month', o_orderdate) AS DATE) + CAST(nr - 1 AS INTEGER)), 1) AS label FROM d")
 def label_weekday(spark, sf_dir):
-    return _order_days(spark, sf_dir, label=dates.label_weekday)
+    return _shown_days(spark, sf_dir, dates.label_weekday)
 
 
 @query("SELECT o_orderkey, strftime(CAST(o_orderdate AS DATE) - 6, '%Y-%m-%d') AS first_day FROM orders")
@@ -79,10 +129,18 @@ def days_back(spark, sf_dir):
     return _order_days(spark, sf_dir, first_day=lambda d: dates.days_back(d, 7))
 
 
-@query(_survey_expr("regexp_matches(left(Response, 10), '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') AS is_day"))
+@query(
+    _survey_expr(
+        "regexp_full_match(CASE _row_ord % 3 WHEN 0 THEN split_part(Response, 'T', 1) WHEN 1 THEN Response"
+        " ELSE substr(Date, 3) END, '[0-9]{4}-[0-9]{2}-[0-9]{2}') AS is_day"
+    )
+)
 def is_day_text(spark, sf_dir):
-    head = F.left(F.col("Response"), F.lit(10))
-    return survey(spark, sf_dir).select("_row_ord", dates.is_day_text(head).alias("is_day"))
+    """Days, whole answers, and days that lack their century."""
+    which = F.col("_row_ord") % 3
+    shown = F.when(which == 0, F.substring_index("Response", "T", 1)).when(which == 1, F.col("Response"))
+    shown = shown.otherwise(F.expr("substring(Date, 3)"))
+    return survey(spark, sf_dir).select("_row_ord", dates.is_day_text(shown).alias("is_day"))
 
 
 @query(
@@ -137,13 +195,19 @@ def ws_trim(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.ws_trim(F.col("text")).alias("text"))
 
 
+BLANKED = [" None ", "NULL", "\t", "undefined", "nonesuch", "null."]
+
+
 @query(
-    "SELECT conv_id, turn, lower(trim(text)) IN ('', 'none', 'null', 'undefined') AS is_blank FROM conversations"
+    "SELECT conv_id, turn, CASE WHEN turn % 8 < 4 OR turn % 8 = 6 AND text IS NULL THEN true WHEN turn % 8 < 6 THEN false"
+    " ELSE lower(trim(text)) IN ('', 'none', 'null', 'undefined') END AS is_blank FROM conversations"
 )
 def is_blank_word(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select(
-        "conv_id", "turn", text.is_blank_word(F.col("text")).alias("is_blank")
-    )
+    """Of eight turns four are made blank words, two nearly so, and two left as they are."""
+    said = F.col("text")
+    for i, word in enumerate(BLANKED):
+        said = F.when(F.col("turn") % 8 == i, word).otherwise(said)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.is_blank_word(said).alias("is_blank"))
 
 
 @query(

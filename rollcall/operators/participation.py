@@ -11,7 +11,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rollcall.columns import (
@@ -41,12 +41,16 @@ def _daily(
     policy: str,
     order_by: Sequence[str] | None,
     *by: Column,
+    rejects: Observation | None = None,
 ) -> DataFrame:
     order = order_names(order_by) if order_by else []
+    kept = [col(cols.kind).alias("__kind")] if rejects is not None else []
     days = rows.select(
-        *by, col(cols.participant).alias(PID), event_day(time, policy).alias("day"), *[col(c) for c in order]
+        *by, col(cols.participant).alias(PID), event_day(time, policy).alias("day"), *[col(c) for c in order], *kept
     )
     keys = days.columns[: len(by) + 2]
+    if rejects is not None:
+        days = days.observe(rejects, *_reject_counts())
     counts = [F.count("day").alias("n")]
     if order:
         counts.append(F.min(order_value(order)).alias("first_ord"))
@@ -55,18 +59,40 @@ def _daily(
     return days.groupBy(*keys).agg(*counts).filter(col("n") > 0)
 
 
+def _reject_counts() -> list[Column]:
+    """Per kind of row: rows read, rows without a day, rows with a day that is not well formed."""
+    out = []
+    for kind in (END_TIME, *AUDIO_KINDS):
+        own = col("__kind") == kind
+        out += [
+            F.count_if(own).alias(f"rows {kind}"),
+            F.count_if(own & col("day").isNull()).alias(f"without_day {kind}"),
+            F.count_if(own & ~is_day_text(col("day"))).alias(f"malformed {kind}"),
+        ]
+    return out
+
+
+def reject_table(spark: SparkSession, rejects: Observation) -> DataFrame:
+    """``kind``, ``rows``, ``without_day``, ``malformed`` of a pass that has been made with the observation."""
+    seen, names = rejects.get, ("rows", "without_day", "malformed")
+    table = [(kind, *[seen[f"{n} {kind}"] for n in names]) for kind in (END_TIME, *AUDIO_KINDS)]
+    return spark.createDataFrame(table, "kind string, rows bigint, without_day bigint, malformed bigint")
+
+
 def daily_entries(
     df: DataFrame,
     cols: SurveyColumns = DEFAULT_COLUMNS,
     policy: str = "text",
     order_by: Sequence[str] | None = None,
+    rejects: Observation | None = None,
 ) -> DataFrame:
     """``end_time`` rows per participant and day of their ``Response``.
 
     With ``order_by``, ``first_ord`` tells where each pair is first seen; the
-    order of participants, and with it ties in the statistics, rests on it.
+    order of participants, and with it ties in the statistics, rests on it. ``rejects``
+    counts what has no day on the way (see ``reject_table``).
     """
-    return _daily(end_time_rows(df, cols), col(cols.response), cols, policy, order_by)
+    return _daily(end_time_rows(df, cols), col(cols.response), cols, policy, order_by, rejects=rejects)
 
 
 def daily_audio(
@@ -84,12 +110,13 @@ def daily_series(
     cols: SurveyColumns = DEFAULT_COLUMNS,
     policy: str = "text",
     order_by: Sequence[str] | None = None,
+    rejects: Observation | None = None,
 ) -> DataFrame:
     """Both kinds of counts from one pass over the rows, told apart by ``audio``."""
     audio = col(cols.kind).isin(*AUDIO_KINDS)
     rows = df.filter((col(cols.kind) == END_TIME) | audio)
     time = F.when(audio, answer_time(cols)).otherwise(col(cols.response))
-    return _daily(rows, time, cols, policy, order_by, audio.alias("audio"))
+    return _daily(rows, time, cols, policy, order_by, audio.alias("audio"), rejects=rejects)
 
 
 def _totals(daily: DataFrame, total: str) -> DataFrame:

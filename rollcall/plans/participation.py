@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 
 from rollcall.columns import DEFAULT_COLUMNS, ORD, SurveyColumns
 from rollcall.operators import participation as p
@@ -31,15 +31,24 @@ class Participation:
     policy: str = "text"
     with_audio: bool = True
 
+    @cached_property
+    def _rejects(self) -> Observation:
+        return Observation()
+
     @cached_property
     def _series(self) -> DataFrame:
-        return once(p.daily_series(self.survey, self.cols, self.policy, self.order_by))
+        return once(p.daily_series(self.survey, self.cols, self.policy, self.order_by, self._rejects))
 
     @cached_property
     def daily(self) -> DataFrame:
         if self.with_audio:
             return self._series.filter("not audio").drop("audio")
-        return once(p.daily_entries(self.survey, self.cols, self.policy, self.order_by))
+        return once(p.daily_entries(self.survey, self.cols, self.policy, self.order_by, self._rejects))
+
+    def rejects(self) -> DataFrame:
+        """Rows read, without a day, and with a malformed day, per kind; counted by the pass that counts entries."""
+        self.daily  # noqa: B018 - the pass
+        return p.reject_table(self.survey.sparkSession, self._rejects)
 
     @cached_property
     def totals(self) -> DataFrame:

@@ -138,3 +138,36 @@ def test_header_names(spark):
     with pytest.raises(ValueError, match="PromptID, RespondedAt, Date"):
         rename_resolved(df)
     assert rename_resolved(df, ["ParticipantID"]).columns == ["ParticipantID"]
+
+
+@pytest.mark.parametrize(
+    ("text", "day"),
+    [
+        ("8/14/2025, 3:05:00 PM", "2025-08-14"),
+        ("8/14/2025 3:05 PM", "2025-08-14"),
+        ("2025/08/14", "2025-08-14"),
+        ("14 August 2025", "2025-08-14"),
+        ("8-14-2025", "2025-08-14"),
+        ("Thu, 14 Aug 2025 10:00:00 GMT", "2025-08-14"),
+        ("Thu Aug 14 2025 10:00:00 GMT+0200 (CEST)", "2025-08-14"),
+        ("Thu Aug 14 2025 01:30:00 GMT+0200 (Central European Summer Time)", "2025-08-13"),
+        ("Thu Aug 14 2025 23:45:00 GMT-0030", "2025-08-15"),
+        ("8/14/2025 12:10 am", "2025-08-14"),
+        ("Thursday, August 14, 2025", "2025-08-14"),
+        ("8/14/2025 13:05 PM", None),
+        ("2/30/2025", None),
+        ("3:05 PM", None),
+        ("14 2025", None),
+        ("8/14/25", None),
+        ("", None),
+        (None, None),
+    ],
+)
+def test_days_as_browsers_write_them(spark, text, day):
+    assert value(spark, text, lambda c: dates.event_day(c, "utc")) == day
+
+
+def test_labels_of_days_in_no_calendar(spark):
+    got = [value(spark, "2025-02-30", f) for f in (dates.label_short, dates.label_day, dates.label_month, dates.label_weekday)]
+    assert got == ["Feb 30", 30, "Feb", "S"]  # March 2, 2025 is a Sunday
+    assert value(spark, "2025-13-01", dates.label_short) is None and value(spark, "x", dates.label_day) is None
