@@ -8,15 +8,15 @@
 3.  *Prefix*: two signatures that agree in ``MATCHES`` places must share one of the
     rarest ``m - MATCHES + 1`` pairs of either, so only these are posted. *Skip*: the long lists
     of frequent pairs are never merged; collisions there are counted on the signatures.
-4.  Posting lists are not turned into all pairs. First each class meets the one class of each of its
-    lists that has the most collisions, the middle of a group of near copies; the closest
-    is confirmed, and such links name groups. Then only classes of different groups that
-    still share a list are paired: the members outside the list's main group with all
-    others, if a longer sketch of one bit per minimum lets them pass.
+4.  Posting lists are worked off in rounds through centres (``pairs``), so a group of near copies costs a few
+    pairs a member and not all its pairs. Classes in the middle of such a group, which share the most
+    pairs, become centres first. Every pair that meets has its collisions counted and goes
+    on from ``MATCHES``; in the last step a longer sketch is asked before, of parities or of one bit per minimum.
 5.  Pairs that pass are confirmed on their full shingle sets, exactly.
 
-A pair at the least similarity fails each of the two screens (``MATCHES`` equal coordinates, ``LEAST_BITS``
-equal bits) with a probability below ``MISS``; more similar pairs are safer still.
+A pair at the least similarity fails the screens (``MATCHES`` equal coordinates, and for long texts in the last step
+``LEAST_BITS`` equal bits too) with a probability below ``MISS`` each, 1e-6 together; more similar pairs are safer still.
+Sets are held as 64-bit hashes, and two different sets pass for one class with a chance below 1e-20 a pair.
 
 Defined results: null and empty texts, and texts of blanks, have no shingles and are linked
 with nothing; repeated rows are copies of each other; rows that share an id and
@@ -27,16 +27,16 @@ table gives an empty one; other columns are not read, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.llm.components import components
 from rollcall.llm.ids import sized, without
+from rollcall.llm.pairs import Sets, confirmer, far_bits, grouped, may_differ, sides
+from rollcall.llm.parity import sketch
 from rollcall.llm.registry import query, table
 from rollcall.llm.shingles import chunks, shingles, signatures
 from rollcall.session import once
@@ -44,10 +44,11 @@ from rollcall.session import once
 K = 128
 #: Least similarity, in hundredths, so that it is compared in whole numbers.
 SIMILARITY = 75
-MISS = 1e-5
+MISS = 5e-7
 WORDS = 5
-#: Bits of the long sketch by which the last pairs are screened, one from each of as many minima.
-BITS = 1024
+#: Bits of the sketches by which the last pairs are screened. Sets of up to ``FEW`` shingles are compared by the parities
+#: of their shingles, which loses no pair; for larger ones there are too few bits, and one from each of as many minima is used.
+BITS, FEW = 1024, 1000
 
 
 def least_matches(k: int, similarity: float, miss: float) -> int:
@@ -64,11 +65,11 @@ LEAST_BITS = least_matches(BITS, (100 + SIMILARITY) / 2, MISS)
 
 
 def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``id``, ``n_shingles``, set digest ``d1``/``d2``, ``sig`` (null without shingles)."""
+    """``id``, text hash ``h``, ``n_shingles``, set digest ``d1``/``d2``, ``sig`` (null without shingles)."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(2).to_pylist()
             sizes, one, two, sigs = [], [], [], []
             for _, run in chunks(texts):
                 hashes, n = shingles(run, WORDS)
@@ -90,17 +91,21 @@ def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(1),
                     pa.array(sizes, pa.int64()),
                     pa.array(np.array(one, dtype=np.uint64).view(np.int64)),
                     pa.array(np.array(two, dtype=np.uint64).view(np.int64)),
                     sig_array,
                 ],
-                names=["id", "n_shingles", "d1", "d2", "sig"],
+                names=["id", "h", "n_shingles", "d1", "d2", "sig"],
             )
 
-    return docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(
-        sketch, "id bigint, n_shingles bigint, d1 bigint, d2 bigint, sig array<int>"
-    )
+    return _rows(docs, key, text).mapInArrow(sketch, "id bigint, h bigint, n_shingles bigint, d1 bigint, d2 bigint, sig array<int>")
+
+
+def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    rows = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
+    return rows.select("id", F.xxhash64("text").alias("h"), "text")
 
 
 def _sig(column: pa.ListArray) -> np.ndarray:
@@ -117,177 +122,85 @@ def _count_matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([c.filter(near) for c in columns], names=["a", "b", "matches"])
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, text_a, text_b) to (a, b) of those near enough on their full sets."""
-    for batch in batches:
-        keep = []
-        both = [t for pair in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True) for t in pair]
-        left = None
-        for _, run in chunks(both):
-            hashes, n = shingles(run, WORDS)
-            for part in np.split(hashes, np.cumsum(n)[:-1]):
-                own = np.unique(part)
-                if left is None:
-                    left = own
-                    continue
-                shared = len(np.intersect1d(left, own, assume_unique=True))
-                keep.append(shared > 0 and 100 * shared >= SIMILARITY * (len(left) + len(own) - shared))
-                left = None
-        mask = pa.array(keep, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
-
-
 def _sketch_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, text) to (node, the last bits of BITS minima)."""
+    """(node, text) to (node, bits, start): the parity sketch, then the last bits of the minima, and which one to begin with."""
     for batch in batches:
-        out = []
+        out, start = [], []
         for _, run in chunks(batch.column(1).to_pylist()):
             hashes, n = shingles(run, WORDS)
-            last = (signatures(hashes, n, BITS) & 1).astype(np.uint8)
-            out += np.packbits(last, axis=1).view(np.int64).tolist()
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["node", "bits"])
+            last = np.packbits((signatures(hashes, n, BITS) & 1).astype(np.uint8), axis=1).view(np.int64)
+            for minima, part in zip(last.tolist(), np.split(hashes, np.cumsum(n)[:-1]), strict=True):
+                own = np.unique(part)
+                out.append(sketch(own, BITS).tolist() + minima)
+                start.append(0 if len(own) <= FEW else BITS // 64)
+        columns = [batch.column(0), pa.array(out, pa.list_(pa.int64())), pa.array(start, pa.int32())]
+        yield pa.RecordBatch.from_arrays(columns, names=["node", "bits", "start"])
 
 
 def postings(classes: DataFrame) -> DataFrame:
-    """(node, n, weight, prefix): the rarest coordinate-value pairs of each class, rarest first.
-    ``weight`` counts how often all its pairs are posted."""
+    """(tok, node, n, weight): the rarest coordinate-value pairs of each class. ``weight`` counts how often
+    all its pairs are posted."""
     posted = classes.select("node", "n", F.posexplode("sig").alias("j", "v")).select(
         "node", "n", (F.shiftleft(F.col("j").cast("bigint"), 32) + F.col("v").cast("bigint") + F.lit(1 << 31)).alias("tok")
     )
-    shared = posted.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
+    shared = once(posted.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1"))
     own = (
-        posted.join(shared, "tok")
+        posted.join(shared, "tok")  # as large as the corpus: never broadcast; stored, so that hot pairs are split
         .groupBy("node", "n")
         .agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("toks"), F.sum("df").alias("weight"))  # K at most
         .where(F.size("toks") >= MATCHES)
     )
     prefix = F.slice("toks", F.lit(1), F.size("toks") - (MATCHES - 1))
-    return own.select("node", "n", "weight", F.transform(prefix, lambda t: t["tok"]).alias("prefix"))
-
+    return own.select(F.explode(F.transform(prefix, lambda t: t["tok"])).alias("tok"), "node", "n", "weight")
 
-def _sides(pairs: DataFrame, of: DataFrame, value: str) -> DataFrame:
-    """(a, b, value of a, value of b)."""
-    a = of.select(F.col("node").alias("a"), F.col(value).alias(f"{value}_a"))
-    b = of.select(F.col("node").alias("b"), F.col(value).alias(f"{value}_b"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", f"{value}_a", f"{value}_b")
 
-
-def links(classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Confirmed links (a, b) among classes: enough of them that the components are those of all links.
+def linked(classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, component) of the classes that have links.
 
     ``classes``: node, n, sig. ``texts``: node, text.
     """
-    prefixes = once(postings(classes))
-    nodes = prefixes.select("node")
-    posted = prefixes.select("node", "n", "weight", F.explode("prefix").alias("tok"))
-    chosen = sized(nodes)
+    posted = once(postings(classes))
+    chosen = sized(posted.select("node").distinct())
     texts = once(texts.join(chosen, "node", "left_semi"))
     sigs = once(classes.select("node", "sig").join(chosen, "node", "left_semi"))
 
-    def matched(pairs: DataFrame) -> DataFrame:
-        return _sides(pairs, sigs, "sig").mapInArrow(_count_matches, "a bigint, b bigint, matches int")
+    def check(pairs: DataFrame) -> DataFrame:
+        matched = sides(pairs, sigs, "sig").mapInArrow(_count_matches, "a bigint, b bigint, matches int")
+        return sides(matched.select("a", "b"), texts, "text").mapInArrow(confirmer(WORDS, SIMILARITY), "a bigint, b bigint")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        return _sides(pairs, texts, "text").mapInArrow(_confirm, "a bigint, b bigint")
+    def bits(nodes: DataFrame) -> DataFrame:
+        return texts.join(sized(nodes), "node", "left_semi").mapInArrow(_sketch_bits, "node bigint, bits array<bigint>, start int")
 
-    # the middle of a group of near copies shares the most pairs; the hash settles ties alike everywhere
-    order = F.shiftleft("weight", 16).bitwiseOR(F.pmod(F.xxhash64("node"), F.lit(1 << 16)))
-    centre = posted.groupBy("tok").agg(F.max_by("node", order).alias("c"), F.max_by("n", order).alias("c_n"))
-    meet = (
-        posted.join(centre, "tok")
-        .where((F.col("node") != F.col("c")) & _sizes_fit(F.col("n"), F.col("c_n")))
-        .select(F.col("node").alias("a"), F.col("c").alias("b"))
-        .distinct()
-    )
-    best = matched(meet).groupBy("a").agg(F.max_by("b", "matches").alias("b"))
-    found = once(confirmed(best))
-
-    # two steps along these links name groups that are connected; lists of one group are done
-    step = found.select(F.col("a").alias("node"), F.col("b").alias("one"))
-    step = step.join(found.select(F.col("a").alias("one"), F.col("b").alias("two")), "one", "left").select(
-        "node", F.coalesce("two", "one").alias("component")
-    )
-    now = posted.join(step, "node", "left").select(
-        "node", "n", "tok", F.coalesce("component", "node").alias("component")
-    )
-    mixed = now.groupBy("tok").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    open_lists = once(now.join(mixed.select("tok"), "tok", "left_semi"))
-    main = (
-        open_lists.groupBy("tok", "component")
-        .agg(F.count("*").alias("members"))
-        .groupBy("tok")
-        .agg(F.max_by("component", "members").alias("main"))
-    )
-    left_over = open_lists.select("node").distinct()
-    bits = once(texts.join(left_over, "node", "left_semi").mapInArrow(_sketch_bits, "node bigint, bits array<bigint>"))
-    members = open_lists.join(main, "tok")
-    known = prefixes.select("node", "prefix").join(bits, "node")
-    members = members.join(known, "node")
-    others = members.where("component <> main").select(
-        "tok", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "component", "prefix", "bits")]
-    )
-    apart = (F.col("component") != F.col("component_a")) & (
-        (F.col("component") == F.col("main")) | (F.col("node_a") < F.col("node"))
-    )
-    differ = [F.bit_count(F.get("bits_a", F.lit(i)).bitwiseXOR(F.get("bits", F.lit(i)))) for i in range(BITS // 64)]
-    # a pair meets in every list it shares, and is taken from the rarest only
-    once_only = F.get(F.array_intersect("prefix_a", "prefix"), F.lit(0)) == F.col("tok")
-    rest = others.join(
-        members.withColumnRenamed("tok", "tok_b"),
-        (F.col("tok") == F.col("tok_b"))
-        & apart
-        & _sizes_fit(F.col("n_a"), F.col("n"))
-        & (reduce(Column.__add__, differ) <= BITS - LEAST_BITS)
-        & once_only,
-    ).select(F.col("node_a").alias("a"), F.col("node").alias("b"))
-    return found.unionByName(confirmed(rest))
+    limit = F.when(F.col("start_a") == 0, may_differ(SIMILARITY)).otherwise(BITS - LEAST_BITS)
+    return grouped(posted, SIMILARITY, check, bits, far_bits(BITS // 64, F.col("start_a")) <= limit)
 
 
-def _sizes_fit(a: Column, b: Column) -> Column:
-    """Sets of such sizes can be near enough."""
-    return (F.least(a, b) * 100) >= (F.greatest(a, b) * SIMILARITY)
+def _found(docs: DataFrame, key: str, text: str) -> DataFrame:
+    sketched = once(sketches(docs, key, text))
+    sets = Sets(sketched)
+    classes = sets.firsts(sketched.select("id", "h", F.col("n_shingles").alias("n"), "sig"))
+    return sets.component_ids(linked(classes, sets.firsts(_rows(docs, key, text))))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` for each row of ``docs``."""
-    sketched = once(sketches(docs, key, text))
-    linkable = sketched.where("n_shingles > 0 AND id IS NOT NULL")
-    standing = once(linkable.groupBy("n_shingles", "d1", "d2").agg(F.min("id").alias("node")))
-    classes = (
-        linkable.join(standing.select(F.col("node").alias("id")), "id", "left_semi")
-        .select(F.col("id").alias("node"), F.col("n_shingles").alias("n"), "sig")
-    )
-    texts = docs.select(F.col(key).cast("bigint").alias("node"), F.col(text).cast("string").alias("text")).where("node IS NOT NULL")
-    where = components(links(classes, texts))
-    group = standing.join(where, "node", "left").select(
-        "n_shingles", "d1", "d2", F.coalesce("component", "node").alias("component_id")
-    )
-    return (
-        sketched.select("id", "n_shingles", "d1", "d2")
-        .join(group, ["n_shingles", "d1", "d2"], "left")
-        .select(
-            F.col("id").alias("doc_id"),
-            "n_shingles",
-            F.coalesce("component_id", "id").alias("component_id"),
-            F.coalesce(F.coalesce("component_id", "id") == F.col("id"), F.lit(True)).alias("kept"),
-        )
-    )
+    kept = F.coalesce(F.col("component_id") == F.col("id"), F.lit(True))
+    return _found(docs, key, text).select(F.col("id").alias("doc_id"), "n_shingles", "component_id", kept.alias("kept"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest id, and of
     repeated rows one. Rows without an id stay."""
-    found = once(near_duplicates(docs, key, text))
-    by_id = found.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("id")).agg(
-        F.bool_or("kept").alias("kept"), F.count("*").alias("n")
-    )
-    out = without(docs, by_id.where("NOT kept").select("id"), key)
-    twice = once(by_id.where("kept AND n > 1").select(F.col("id").alias(key)))
+    found = once(_found(docs, key, text).where("id IS NOT NULL").select("id", "h", F.coalesce("first", F.lit(True)).alias("stays")))
+    by_id = found.groupBy("id").agg(F.bool_or("stays").alias("stays"), F.count("*").alias("n"))
+    out = without(docs, by_id.where("NOT stays").select("id"), key)
+    twice = once(by_id.where("stays AND n > 1").select("id"))
     if twice.isEmpty():
         return out
-    return out.join(twice, key, "left_anti").unionByName(
-        out.join(twice, key, "left_semi").dropDuplicates([key, text])
-    )
+    texts = found.where("stays").join(twice, "id").select(F.col("id").alias("_id"), F.col("h").alias("_h")).distinct()
+    rest = out.join(twice.select(F.col("id").alias(key)), key, "left_anti").select(*docs.columns)
+    same = (F.col("_id") == out[key]) & (F.col("_h") == F.xxhash64(out[text].cast("string")))
+    return rest.unionByName(out.join(texts, same, "left_semi").dropDuplicates([key, text]))
 
 
 @query("op6_minhash_near_dedup")

@@ -1,13 +1,13 @@
 """Groups of similar texts from posting lists, without all pairs of a list.
 
 A posting list holds the nodes that share some key; nodes that are similar enough share a list at
-least. What is wanted is not every link but the groups that all links make. So lists are worked
-off in rounds: in each, every list that still holds nodes of several groups names a centre, all its
-nodes of other groups meet that centre, and what is confirmed joins groups. A list of L near copies
-costs L pairs a round, and is done once it holds one group. After ``ROUNDS`` centres, what is
-left outside the largest group of a list meets the nodes of its other groups, behind a filter
-that is evaluated inside the join. No link between different groups is lost, as all their pairs
-in a list have been met by then.
+least. What is wanted is not every link but the groups that all links make. So lists are first worked
+off in rounds: in each, every list that still holds nodes of several groups names a centre, and every node
+meets the most central one of those that its lists name, if it is of another group. What is confirmed
+joins groups. A group of L near copies costs L pairs a round, and lists that hold one group are done.
+After ``ROUNDS`` rounds, what is left outside the largest group of a list meets the nodes of its other
+groups, behind a filter that is evaluated inside the join. As that step forms all pairs of a list
+between different groups, no link that could join two groups is lost.
 """
 
 from __future__ import annotations
@@ -21,16 +21,51 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.llm.components import components
+from rollcall.llm.ids import sized
 from rollcall.llm.shingles import chunks, shingles
 from rollcall.operators.joins import join_small
 from rollcall.session import once
 
-#: Centres that a list names before its remaining pairs are formed.
+#: Rounds through centres before the remaining pairs are formed.
 ROUNDS = 4
 
 Frames = Callable[[DataFrame], DataFrame]
 
 
+class Sets:
+    """The distinct shingle sets of a table: a node for each, and the first document that has it.
+
+    ``documents``: (id, h, n_shingles, d1, d2, ...), stored; ``h`` tells texts of one id apart. Rows
+    without shingles or without an id have no node. Equal sets are told by size and 128-bit digest.
+    """
+
+    def __init__(self, documents: DataFrame):
+        self.documents = documents
+        linkable = documents.where("n_shingles > 0 AND id IS NOT NULL")
+        sets = linkable.groupBy("n_shingles", "d1", "d2").agg(F.min(F.struct("id", "h")).alias("first"))
+        self.sets = once(sets.withColumn("node", F.monotonically_increasing_id()))
+        self._firsts = sized(self.sets.select("first.id", "first.h", "node"))
+        self._repeated = not linkable.groupBy("id", "h").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+
+    def firsts(self, rows: DataFrame) -> DataFrame:
+        """The rows (id, h, ...) of first documents, one for each node."""
+        found = rows.join(self._firsts, ["id", "h"]).drop("id", "h")
+        return found.dropDuplicates(["node"]) if self._repeated else found
+
+    def component_ids(self, components: DataFrame) -> DataFrame:
+        """(id, h, n_shingles, component_id, first) of every document, from (node, component) of the nodes that have
+        links. ``first`` marks the document that stands for its component; null without a node."""
+        named = self.sets.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        least = named.groupBy("component").agg(F.min("first").alias("least"))
+        # a component may hold a third of all sets: its least id is aggregated, stored, and joined by size
+        named = join_small(named, once(least), ["component"]).select("n_shingles", "d1", "d2", "least")
+        own = F.when(F.col("id").isNotNull(), F.col("least"))
+        found = join_small(self.documents.select("id", "h", "n_shingles", "d1", "d2"), once(named), ["n_shingles", "d1", "d2"], "left")
+        return found.select(
+            "id", "h", "n_shingles", F.coalesce(own["id"], "id").alias("component_id"), (own == F.struct("id", "h")).alias("first")
+        )
+
+
 def sizes_fit(a: Column, b: Column, percent: int) -> Column:
     """Sets of such sizes can be near enough."""
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
@@ -67,9 +102,15 @@ def confirmer(words: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]],
     return confirm
 
 
-def far_bits(longs: int) -> Column:
-    """Bits in which the arrays ``bits_a`` and ``bits`` of a pair differ."""
-    return reduce(Column.__add__, [F.bit_count(F.get("bits_a", F.lit(i)).bitwiseXOR(F.get("bits", F.lit(i)))) for i in range(longs)])
+def far_bits(longs: int, start: Column | None = None) -> Column:
+    """Bits in which the arrays ``bits_a`` and ``bits`` of a pair differ, over ``longs`` numbers from ``start`` on."""
+    places = [F.lit(i) if start is None else start + i for i in range(longs)]
+    return reduce(Column.__add__, [F.bit_count(F.get("bits_a", i).bitwiseXOR(F.get("bits", i))) for i in places])
+
+
+def may_differ(percent: int) -> Column:
+    """Most shingles that are not in both of two near sets, whose sizes are ``n_a`` and ``n``."""
+    return F.floor((F.col("n_a") + F.col("n")) * (100 - percent) / (100 + percent))
 
 
 def _relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -91,8 +132,9 @@ def grouped(posted: DataFrame, percent: int, check: Frames, bits: Frames, near:
     """``node``, ``component`` for the nodes that have links; the component is the smallest node.
 
     ``posted``: (tok, node, n, weight), stored. Nodes of great ``weight`` become centres first. ``check``
-    turns pairs (a, b) into links. ``bits``: (node) to (node, bits), by which ``near`` (over ``bits_a``,
-    ``bits``, ``n_a``, ``n``) screens the pairs of the last step.
+    turns pairs (a, b) into links. ``bits``: (node) to (node, bits, ...), by which ``near`` (over ``bits_a``, ``n_a``, ... of
+    one and ``bits``, ``n``, ... of the other) screens the pairs of the last step. It is evaluated for very many
+    pairs: keep it short enough for the JVM to compile.
     """
     # the hash settles ties alike everywhere
     order = F.struct(F.col("weight"), F.xxhash64("node").alias("h"), F.col("node"))
@@ -103,30 +145,22 @@ def grouped(posted: DataFrame, percent: int, check: Frames, bits: Frames, near:
         now = _open(posted, lists, labels)
         candidate = F.when(F.col("bound").isNull() | (order < F.col("bound")), F.struct(order.alias("o"), "n", "label"))
         lists = now.groupBy("tok").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max(candidate).alias("c"))
-        lists = once(
-            lists.where("low <> high AND c IS NOT NULL").select(
-                "tok",
-                F.col("c.o").alias("bound"),
-                F.col("c.n").alias("centre_n"),
-                F.col("c.label").alias("centre_label"),
-            )
-        )
+        lists = once(lists.where("low <> high").select("tok", F.col("c.o").alias("bound"), "c"))
         if lists.isEmpty():
-            break
-        meet = (
-            join_small(_labelled(posted, labels), lists, ["tok"])
-            .where((F.col("label") != F.col("centre_label")) & sizes_fit(F.col("n"), F.col("centre_n"), percent))
-            .select(F.least("node", "bound.node").alias("a"), F.greatest("node", "bound.node").alias("b"))
-            .distinct()
-        )
-        links = once(check(meet))
+            return _named(posted, labels)
+        met = join_small(_labelled(posted, labels), lists.select("tok", "c").where("c IS NOT NULL"), ["tok"])
+        met = met.where((F.col("label") != F.col("c.label")) & sizes_fit(F.col("n"), F.col("c.n"), percent))
+        # a node meets the most central of the centres that its lists name
+        pairs = met.groupBy(F.col("node").alias("a")).agg(F.max("c.o").alias("o")).select("a", F.col("o.node").alias("b"))
+        links = once(check(pairs))
         if not links.isEmpty():
             labels = _relabelled(labels, links)
         lists = lists.select("tok", "bound")
-    else:
-        links = once(check(_rest(_open(posted, lists, labels), percent, bits, near)))
-        if not links.isEmpty():
-            labels = _relabelled(labels, links)
+    links = once(check(_rest(_open(posted, lists, labels), percent, bits, near)))
+    return _named(posted, labels if links.isEmpty() else _relabelled(labels, links))
+
+
+def _named(posted: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return posted.select("node", F.col("node").alias("component")).limit(0)
     return labels.select("node", F.col("label").alias("component"))
@@ -152,7 +186,7 @@ def _rest(now: DataFrame, percent: int, bits: Frames, near: Column) -> DataFrame
     now = once(join_small(now, main, ["tok"]))
     known = once(bits(now.select("node").distinct()))
     members = join_small(now, known, ["node"])
-    others = members.where("label <> main").select("tok", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "label", "bits")])
+    others = members.where("label <> main").select("tok", *[F.col(c).alias(f"{c}_a") for c in members.columns if c not in ("tok", "main")])
     apart = (F.col("label") != F.col("label_a")) & ((F.col("label") == F.col("main")) | (F.col("node_a") < F.col("node")))
     met = others.join(
         members.withColumnRenamed("tok", "tok_b"),

@@ -30,11 +30,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollcall.llm.ids import sized
-from rollcall.llm.pairs import confirmer, far_bits, grouped, sides, sizes_fit
+from rollcall.llm.pairs import Sets, confirmer, far_bits, grouped, may_differ, sides, sizes_fit
 from rollcall.llm.registry import query, table
 from rollcall.llm.shingles import chunks, mix, shingles
 from rollcall.operators.joins import join_small
@@ -195,15 +195,9 @@ class Join:
         self.words, self.percent = words, percent
         rows = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
         rows = rows.select("id", F.xxhash64("text").alias("h"), "text")
-        self.documents = once(rows.mapInArrow(_digests(words), "id bigint, h bigint, n_shingles bigint, d1 bigint, d2 bigint"))
-        linkable = self.documents.where("n_shingles > 0 AND id IS NOT NULL")
-        sets = linkable.groupBy("n_shingles", "d1", "d2").agg(F.min(F.struct("id", "h")).alias("first"))
-        self.sets = once(sets.withColumn("node", F.monotonically_increasing_id()))
-        firsts = sized(self.sets.select("first.id", "first.h", "node"))
-        texts = rows.join(firsts, ["id", "h"]).select("node", "text")
-        repeated = linkable.groupBy("id", "h").agg(F.count("*").alias("n")).where("n > 1")
-        if not repeated.isEmpty():
-            texts = texts.dropDuplicates(["node"])
+        documents = once(rows.mapInArrow(_digests(words), "id bigint, h bigint, n_shingles bigint, d1 bigint, d2 bigint"))
+        self.sets = Sets(documents)
+        texts = self.sets.firsts(rows).select("node", "text")
         self.posted = once(self._prefixes(texts))
         nodes = sized(self.posted.select("node").distinct())
         self.texts = once(texts.join(nodes, "node", "left_semi"))
@@ -227,26 +221,15 @@ class Join:
         screened = sides(pairs, self.sketches, "whole").mapInArrow(_screen(self.percent), "a bigint, b bigint")
         return sides(screened, self.texts, "text").mapInArrow(confirmer(self.words, self.percent), "a bigint, b bigint")
 
-    def near(self) -> Column:
-        """Whether the short sketches of a pair are near enough."""
-        return far_bits(SHORT // 64) * (100 + self.percent) <= (F.col("n_a") + F.col("n")) * (100 - self.percent)
-
     def components(self) -> DataFrame:
         """(node, component)."""
-        return grouped(self.posted, self.percent, self.check, lambda nodes: self.sketches.join(sized(nodes), "node", "left_semi").select("node", "bits"), self.near())
+        return grouped(self.posted, self.percent, self.check, lambda nodes: self.sketches.join(sized(nodes), "node", "left_semi").select("node", "bits"), far_bits(SHORT // 64) <= may_differ(self.percent))
 
 
 def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = SIMILARITY) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` for each row of ``docs``."""
     join = Join(docs, key, text, words, percent)
-    named = join.sets.join(join.components(), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("first.id").alias("component_id"))
-    # a component may hold a third of all sets: its least id is aggregated, stored, and joined by size
-    named = join_small(named, once(least), ["component"]).select("n_shingles", "d1", "d2", "component_id")
-    found = join_small(join.documents, once(named), ["n_shingles", "d1", "d2"], "left")
-    return found.select(
-        F.col("id").alias("doc_id"), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id")
-    )
+    return join.sets.component_ids(join.components()).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
 def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -257,9 +240,10 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     join = Join(docs, key, text, words, percent)
     here = join.posted.select("tok", "node", "n").join(join.sketches.select("node", "bits"), "node")
     there = here.select("tok", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "bits")])
-    met = there.join(here, "tok").where((F.col("node_a") < F.col("node")) & sizes_fit(F.col("n_a"), F.col("n"), percent) & join.near())
-    members = join_small(join.documents, join.sets.select("n_shingles", "d1", "d2", "node"), ["n_shingles", "d1", "d2"])
-    return join.check(met.select(F.col("node_a").alias("a"), F.col("node").alias("b")).distinct()), members.where("id IS NOT NULL").select(F.col("id").alias("doc_id"), "node")
+    met = there.join(here, "tok").where((F.col("node_a") < F.col("node")) & sizes_fit(F.col("n_a"), F.col("n"), percent) & (far_bits(SHORT // 64) <= may_differ(percent)))
+    members = join_small(join.sets.documents, join.sets.sets.select("n_shingles", "d1", "d2", "node"), ["n_shingles", "d1", "d2"])
+    links = join.check(met.select(F.col("node_a").alias("a"), F.col("node").alias("b")).distinct())
+    return links, members.where("id IS NOT NULL").select(F.col("id").alias("doc_id"), "node")
 
 
 _PLAIN = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"

@@ -1,6 +1,8 @@
+import random
 import re
 from collections import Counter, defaultdict
 
+from rollcall.llm import pairs
 from rollcall.llm.components import components
 from rollcall.llm.minhash import keep_one, near_duplicates
 from tests.llm.conftest import prose
@@ -69,6 +71,26 @@ def test_repeated_rows_and_rows_without_an_id(docs):
     assert out.columns == docs(rows).columns
 
 
+def test_ids_with_two_texts_are_judged_by_each(docs):
+    one, two = prose(1, 50), prose(2, 60)
+    rows = [(2, two), (9, one), (9, two + " end"), (11, one + " end"), (9, one)]
+    got = sorted((r.doc_id, r.component_id) for r in near_duplicates(docs(rows)).collect())
+    assert got == [(2, 2), (9, 2), (9, 9), (9, 9), (11, 9)]
+    assert sorted((r.doc_id, r.text) for r in keep_one(docs(rows)).collect()) == [(2, two), (9, one)]
+
+
+def test_group_that_its_first_centres_leave_in_parts(docs, monkeypatch):
+    """Copies far from each other: many lists stay open after their first centre."""
+    rng = random.Random(5)
+    base = prose(900, 150).split()
+    rows = [(i, edited(base, [rng.randrange(150) for _ in range(rng.choice([2, 3, 4, 5, 6]))], i)) for i in range(150)]
+    want = brute(rows)
+    assert 3 < len(set(want.values())) < 100
+    for rounds in (0, 1, 4):
+        monkeypatch.setattr(pairs.grouped, "__defaults__", (rounds,))
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs(rows)).collect()} == want
+
+
 def test_empty_table(docs):
     assert near_duplicates(docs([])).count() == 0
     assert keep_one(docs([])).count() == 0
