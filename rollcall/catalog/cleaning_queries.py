@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from rollcall.catalog.registry import query
 from rollcall.catalog.survey_view import ORDER, SURVEY, survey, table, with_
-from rollcall.columns import rename_resolved
+from rollcall.columns import norm_header_text, rename_resolved, require_columns
 from rollcall.functions.text import has_blank_key
 from rollcall.operators import cleaning as c
 from rollcall.operators import rows as r
+from rollcall.operators.joins import join_small
+from rollcall.session import once
 
 KEYS = "PromptID, ParticipantID, RespondedAt"
 MARKED = f"""
@@ -52,7 +54,10 @@ def clean_removed(spark, sf_dir):
     " (SELECT 1 FROM marked WHERE rn > 1 AND marked._row_ord = survey._row_ord)"
 )
 def anti_removed(spark, sf_dir):
-    return c.clean(survey(spark, sf_dir), order_by=ORDER)
+    """The survey without the rows that cleaning lists as removed."""
+    df = survey(spark, sf_dir)
+    removed = c.clean_removed(df, order_by=ORDER).select(*ORDER)
+    return join_small(df, once(removed), ORDER, "left_anti").select(*df.columns)
 
 
 @query(
@@ -92,6 +97,30 @@ def prj_resolve_columns(spark, sf_dir):
     return c.clean(rename_resolved(uploaded), order_by=ORDER)
 
 
+@query(
+    with_(SURVEY)
+    + "SELECT ParticipantID, count(*) AS rows, 'missing columns: Wave' AS refused FROM survey GROUP BY 1"
+)
+def chk_required_columns(spark, sf_dir):
+    """Rows of a survey that has what is required, and what is said of one that has not."""
+    df = require_columns(survey(spark, sf_dir), c.KEYS)
+    try:
+        require_columns(df, [*c.KEYS, "Wave"])
+        refused = ""
+    except ValueError as error:
+        refused = str(error)
+    return df.groupBy("ParticipantID").agg(F.count(F.lit(1)).alias("rows")).withColumn("refused", F.lit(refused))
+
+
+@query(
+    "SELECT doc_id, regexp_replace(lower(source), '[-_ ]', '', 'g') || replace(lang, '-', '') || 'id' AS header FROM documents"
+)
+def norm_header(spark, sf_dir):
+    """Headers made from each document's source and language, loosely written."""
+    header = F.concat(F.lit("\ufeff \t"), F.upper("source"), F.lit("_ "), F.col("lang"), F.lit("- Id\u00a0"))
+    return table(spark, sf_dir, "documents").select("doc_id", norm_header_text(header).alias("header"))
+
+
 @query(with_(SURVEY) + "SELECT * FROM survey WHERE lower(trim(Response)) IN ('', 'none', 'null', 'undefined')")
 def flt_blank_key(spark, sf_dir):
     df = survey(spark, sf_dir)

@@ -9,6 +9,7 @@ from rollcall.catalog.registry import query
 from rollcall.catalog.survey_view import ORDER, SURVEY, survey, table, with_
 from rollcall.operators import dedup as d
 from rollcall.operators import rows as r
+from rollcall.operators.sets import column_union as names
 from rollcall.operators.sets import union_all
 from rollcall.plans.collate import collate_tables
 
@@ -134,9 +135,16 @@ def lim_sample_ids(spark, sf_dir):
     return d.sample_ids(survey(spark, sf_dir), order_by=ORDER)
 
 
-@query(with_(SURVEY) + "SELECT * FROM survey ORDER BY _row_ord")
+@query(with_(SURVEY) + "SELECT *, row_number() OVER (ORDER BY _row_ord) - 1 AS position FROM survey")
 def ord_input(spark, sf_dir):
-    return r.in_input_order(survey(spark, sf_dir), ORDER)
+    return r.numbered(r.in_input_order(survey(spark, sf_dir), ORDER))
+
+
+@query(with_(PARTIES) + "SELECT '_file_ord,_row_ord,name,nationkey,acctbal,segment,code' AS columns, count(*) AS rows FROM parties")
+def column_union(spark, sf_dir):
+    """Names of the stacked table's columns, each where it is first seen, and its rows."""
+    frames = _parties(spark, sf_dir)
+    return union_all(frames).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(",".join(names(frames))).alias("columns"), "rows")
 
 
 @query(with_(SURVEY) + "SELECT ParticipantID, min(_row_ord) AS first_ord FROM survey GROUP BY 1")

@@ -7,15 +7,26 @@ from pyspark.sql import functions as F
 
 from rollcall import sinks
 from rollcall.catalog.cleaning_queries import MARKED, TRANSCRIPTS, _talk
-from rollcall.catalog.participation_queries import AUDIO, BASE, _analysis
+from rollcall.catalog.participation_queries import ANCHOR_INSIDE, DAYS_INSIDE, _analysis
 from rollcall.catalog.registry import query
-from rollcall.catalog.survey_view import ANCHOR, DAYS, ORDER, SURVEY, survey, table, with_
+from rollcall.catalog.survey_view import (
+    AUDIO_DAILY,
+    AUDIO_TOTALS,
+    DAILY,
+    DAYS,
+    ORDER,
+    SURVEY,
+    TOTALS,
+    survey,
+    table,
+    with_,
+)
 from rollcall.operators import participation as p
 from rollcall.operators.rows import in_input_order
 from rollcall.plans.collate import collate
 from rollcall.session import scratch_dir
 from rollcall.sources import csv
-from rollcall.sources.files import discover
+from rollcall.sources.files import discover, find_files
 
 ORDERS = (
     "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey,"
@@ -114,24 +125,64 @@ def src_multi(spark, sf_dir):
     return csv.read_many(spark, paths).df.drop("_file_ord", "_row_ord")
 
 
+# Bytes of the lines that each folder's files hold, without their headers.
+_CUSTOMER_BYTES = "sum(strlen(c_name) + strlen(CAST(c_nationkey AS VARCHAR)) + strlen(c_mktsegment) + 3)"
+_SUPPLIER_BYTES = "sum(strlen(s_name) + strlen(CAST(s_nationkey AS VARCHAR)) + strlen(CAST(s_suppkey AS VARCHAR)) + 4)"
+INVENTORY = (
+    f"SELECT 'customer' AS folder, 'name,nation,segment' AS header, 3 AS columns, count(*) AS rows, CAST({_CUSTOMER_BYTES} AS BIGINT) AS bytes FROM customer"
+    f" UNION ALL SELECT 'supplier', 'code,nation,name', 3, count(*), CAST({_SUPPLIER_BYTES} AS BIGINT) FROM supplier"
+)
+
+
+def _folder(path):
+    return F.element_at(F.split(path, "/"), -2)
+
+
 @query(
-    "SELECT 'name,nation,segment' AS header, count(*) AS rows FROM customer"
-    " UNION ALL SELECT 'code,nation,name', count(*) FROM supplier"
+    "SELECT 'customer' AS folder, 'name,nation,segment' AS header, count(*) AS rows FROM customer"
+    " UNION ALL SELECT 'supplier', 'code,nation,name', count(*) FROM supplier"
 )
 def src_header_scan(spark, sf_dir):
-    """Rows per header, from the headers of the files and an inventory of their rows."""
+    """Rows per folder and header: the headers of all files, and the rows of each file by its ordinal."""
     loaded = csv.read_many(spark, discover(spark, _party_files(spark, sf_dir)))
-    named = spark.createDataFrame([(f.path, ",".join(f.header)) for f in loaded.files], "path string, header string")
-    counted = csv.file_inventory(loaded).join(named, "path")
-    return counted.groupBy("header").agg(F.sum("rows").alias("rows"))
+    named = [(f.ord, f.path, ",".join(f.header)) for f in loaded.files]
+    heads = spark.createDataFrame(named, "_file_ord int, path string, header string")
+    counted = loaded.df.groupBy("_file_ord").agg(F.count(F.lit(1)).alias("rows")).join(heads, "_file_ord")
+    return counted.groupBy(_folder(F.col("path")).alias("folder"), "header").agg(F.sum("rows").alias("rows"))
+
+
+@query(INVENTORY)
+def src_file_inventory(spark, sf_dir):
+    """Rows, columns and bytes per folder; a header with its line end is taken off each file."""
+    loaded = csv.read_many(spark, discover(spark, _party_files(spark, sf_dir)))
+    heads = spark.createDataFrame([(f.path, ",".join(f.header)) for f in loaded.files], "path string, header string")
+    body = F.col("bytes") - F.length("header") - 1
+    inventory = csv.file_inventory(loaded).join(heads, "path").filter("columns > 0")
+    return inventory.groupBy(_folder(F.col("path")).alias("folder"), "header", "columns").agg(
+        F.sum("rows").alias("rows"), F.sum(body).alias("bytes")
+    )
 
 
 @query(
-    "SELECT (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) AS rows, CAST(3 AS INTEGER) AS columns"
+    "SELECT 'read' AS fate, (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) AS rows"
+    " UNION ALL SELECT 'given before', count(*) FROM customer UNION ALL SELECT 'matches nothing', 0"
 )
-def src_file_inventory(spark, sf_dir):
-    inventory = csv.file_inventory(csv.read_many(spark, discover(spark, _party_files(spark, sf_dir))))
-    return inventory.agg(F.sum("rows").alias("rows"), F.max("columns").alias("columns"))
+def src_input_fates(spark, sf_dir):
+    """Rows of the files by what became of their input: folders, a glob into one of them, a path that is not there."""
+    folders = _party_files(spark, sf_dir)
+    found = find_files(spark, [*folders, folders[0] + "/*.csv", folders[0] + "-gone"])
+    loaded = csv.read_many(spark, found.paths)
+    counted = csv.file_inventory(loaded).select("path", "rows")
+    fates = found.frame(spark).join(counted, "path", "left")
+    return fates.groupBy("fate").agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"))
+
+
+@query(PARTIES)
+def union_same_files(spark, sf_dir):
+    """Each folder given twice, and by two spellings of its path."""
+    folders = _party_files(spark, sf_dir)
+    paths = discover(spark, [*folders, *folders, folders[1].replace("/supplier", "/./supplier")])
+    return csv.read_many(spark, paths).df.drop("_file_ord", "_row_ord")
 
 
 @query(PARTIES)
@@ -229,25 +280,40 @@ def sink_cleaned(spark, sf_dir):
     return csv.read_csv(spark, path)
 
 
-def _report_sql(base: str, totals: str, total: str, daily: str) -> str:
+def _report_sql(part: str, totals: str, total: str, daily: str, days: list[str]) -> str:
     cells = ", ".join(
-        f"CAST(coalesce(sum(CASE WHEN day = '{d}' THEN n END), 0) AS VARCHAR) AS \"{d}\"" for d in DAYS
+        f"CAST(coalesce(sum(CASE WHEN day = '{d}' THEN n END), 0) AS VARCHAR) AS \"{d}\"" for d in days
     )
     return (
-        base + f"SELECT ParticipantID, CAST(any_value({total}) AS VARCHAR) AS {total}, {cells}"
+        f"SELECT '{part}' AS part, ParticipantID, CAST(any_value({total}) AS VARCHAR) AS total, {cells}"
         f" FROM {totals} JOIN {daily} USING (ParticipantID) GROUP BY ParticipantID"
     )
 
 
-@query(_report_sql(BASE, "totals", "TotalEntries", "daily"))
+def _both_sql(days: list[str]) -> str:
+    main = _report_sql("summary", "totals", "TotalEntries", "daily", days)
+    audio = _report_sql("audio", "audio_totals", "TotalTextAudio", "audio_daily", days)
+    return with_(SURVEY, DAILY, TOTALS, AUDIO_DAILY, AUDIO_TOTALS) + f"{main} UNION ALL {audio}"
+
+
+def _both_parts(spark, path) -> DataFrame:
+    """The two sections of a report, read back."""
+    parts = []
+    for part, total in (("summary", "TotalEntries"), ("audio", "TotalTextAudio")):
+        rows = csv.read_csv(spark, f"{path}/{part}").withColumnRenamed(total, "total")
+        parts.append(rows.withColumn("part", F.lit(part)))
+    return parts[0].unionByName(parts[1])
+
+
+@query(_both_sql(DAYS))
 def sink_participation_report(spark, sf_dir):
     done, path = _analysis(spark, sf_dir, with_audio=True), scratch_dir(spark) + "/report"
     sinks.write_report(done.summary(), done.audio(), path)
-    return csv.read_csv(spark, path + "/summary")
+    return _both_parts(spark, path)
 
 
-@query(_report_sql(AUDIO, "audio_totals", "TotalTextAudio", "audio_daily"))
+@query(_both_sql(DAYS_INSIDE))
 def sink_30day_report(spark, sf_dir):
     df, path = survey(spark, sf_dir), scratch_dir(spark) + "/report"
-    sinks.write_report(p.summary_30day(df, ANCHOR), p.audio_30day(df, ANCHOR), path)
-    return csv.read_csv(spark, path + "/audio")
+    sinks.write_report(p.summary_30day(df, ANCHOR_INSIDE), p.audio_30day(df, ANCHOR_INSIDE), path)
+    return _both_parts(spark, path)

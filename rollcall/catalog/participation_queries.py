@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from rollcall.catalog.registry import query
 from rollcall.catalog.survey_view import (
-    ANCHOR,
     AUDIO_DAILY,
     AUDIO_TOTALS,
     DAILY,
@@ -24,6 +23,7 @@ from rollcall.columns import SurveyColumns
 from rollcall.operators import participation as p
 from rollcall.operators import ranges, stats
 from rollcall.operators import rows as r
+from rollcall.operators.sets import union_rows
 from rollcall.plans.participation import Participation
 
 BASE = with_(SURVEY, DAILY, TOTALS)
@@ -82,9 +82,9 @@ def agg_days(spark, sf_dir):
     return p.days(_daily(spark, sf_dir))
 
 
-@query(AUDIO + "SELECT DISTINCT day FROM audio_daily ORDER BY day DESC")
+@query(AUDIO + "SELECT day, row_number() OVER (ORDER BY day DESC) - 1 AS position FROM (SELECT DISTINCT day FROM audio_daily)")
 def ord_days_desc(spark, sf_dir):
-    return p.days(_audio_daily(spark, sf_dir))
+    return r.numbered(p.days(_audio_daily(spark, sf_dir)))
 
 
 @query(with_(SURVEY, INCENTIVE) + "SELECT * FROM incentive")
@@ -110,7 +110,7 @@ def join_incentive(spark, sf_dir):
 )
 def join_zero_fill(spark, sf_dir):
     done = _analysis(spark, sf_dir)
-    return p.zero_fill(None, done.daily, done.day_names)
+    return done.zero_filled()
 
 
 @query(
@@ -121,7 +121,7 @@ def join_zero_fill(spark, sf_dir):
 )
 def join_zero_fill_audio(spark, sf_dir):
     done = _analysis(spark, sf_dir, with_audio=True)
-    return p.zero_fill(None, done.audio_daily, done.day_names)
+    return p.zero_fill(None, done.audio_daily, p.days(done.daily))
 
 
 SUMMARY = (
@@ -151,19 +151,38 @@ def agg_audio_wide(spark, sf_dir):
     return _analysis(spark, sf_dir, with_audio=True).audio()
 
 
+# Thirty days that end ten days before the data do and begin before them.
+ANCHOR_INSIDE = "2024-01-20"
+DAYS_INSIDE = p.day_range(ANCHOR_INSIDE)
+
+
 @query(
     BASE
     + "SELECT ParticipantID, any_value(TotalEntries) AS TotalEntries, "
-    + day_sums()
+    + day_sums(DAYS_INSIDE)
     + " FROM totals JOIN daily USING (ParticipantID) GROUP BY ParticipantID"
 )
 def agg_30day(spark, sf_dir):
-    return p.summary_30day(survey(spark, sf_dir), ANCHOR)
+    return p.summary_30day(survey(spark, sf_dir), ANCHOR_INSIDE)
 
 
-@query(AUDIO_WIDE)
+@query(
+    AUDIO
+    + "SELECT ParticipantID, any_value(TotalTextAudio) AS TotalTextAudio, "
+    + day_sums(DAYS_INSIDE)
+    + " FROM audio_totals JOIN audio_daily USING (ParticipantID) GROUP BY ParticipantID"
+)
 def agg_30day_audio(spark, sf_dir):
-    return p.audio_30day(survey(spark, sf_dir), ANCHOR)
+    return p.audio_30day(survey(spark, sf_dir), ANCHOR_INSIDE)
+
+
+@query(SUMMARY)
+def agg_summary_pages(spark, sf_dir):
+    """The summary in pages of seven days, joined back by participant."""
+    first, *others = _analysis(spark, sf_dir).summary_pages(7)
+    for page in others:
+        first = first.join(page, "ParticipantID")
+    return first
 
 
 @query(
@@ -218,15 +237,15 @@ def least_active(spark, sf_dir):
     return stats.least_active(_analysis(spark, sf_dir).totals)
 
 
-@query(BASE + f"SELECT * FROM totals ORDER BY {ACTIVITY}")
+@query(BASE + f"SELECT *, row_number() OVER (ORDER BY {ACTIVITY}) - 1 AS position FROM totals")
 def ord_activity_desc(spark, sf_dir):
-    return stats.by_activity(_analysis(spark, sf_dir).totals)
+    return r.numbered(stats.by_activity(_analysis(spark, sf_dir).totals))
 
 
-@query(BASE + "SELECT * FROM totals ORDER BY CAST(ParticipantID AS BIGINT)")
+@query(BASE + "SELECT *, row_number() OVER (ORDER BY CAST(ParticipantID AS BIGINT)) - 1 AS position FROM totals")
 def ord_summary(spark, sf_dir):
     totals = _analysis(spark, sf_dir).totals
-    return totals.orderBy(*p.summary_order(totals))
+    return r.numbered(totals.orderBy(*p.summary_order(totals)))
 
 
 CHART = """
@@ -273,6 +292,24 @@ def flt_last_days(spark, sf_dir):
     return ranges.last_days(_analysis(spark, sf_dir).daily, 7).select("ParticipantID", "day", "n")
 
 
+OPTIONS = {"7days": 7, " 3 days": 3, "1": 1, "all": None, "0": None, "few": None}
+
+
+@query(
+    BASE
+    + " UNION ALL ".join(
+        f"SELECT '{option}' AS option, count(*) AS rows, CAST(sum(n) AS BIGINT) AS entries FROM daily" + (f" WHERE {_since(n)}" if n else "")
+        for option, n in OPTIONS.items()
+    )
+)
+def parse_days_option(spark, sf_dir):
+    """Entries in range for each way to say how many days."""
+    daily = _analysis(spark, sf_dir).daily
+    sums = [F.count(F.lit(1)).alias("rows"), F.sum("n").alias("entries")]
+    parts = [ranges.last_days(daily, o).agg(*sums).select(F.lit(o).alias("option"), "rows", "entries") for o in OPTIONS]
+    return union_rows(*parts)
+
+
 @query(BASE + f"SELECT ParticipantID, TotalEntries, day, n FROM totals JOIN daily USING (ParticipantID) WHERE {_since(7)}")
 def flt_summary_range(spark, sf_dir):
     done = _analysis(spark, sf_dir)

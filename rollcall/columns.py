@@ -109,6 +109,12 @@ def norm_header(header: str) -> str:
     return re.sub("[-_" + BLANK_CHARS + "]", "", bare)
 
 
+def norm_header_text(header: Column) -> Column:
+    """The same for header text in a column."""
+    bare = F.regexp_replace(F.coalesce(header, F.lit("")), "^\ufeff", "")
+    return F.regexp_replace(F.lower(F.trim(bare, F.lit(BLANK_CHARS))), "[-_" + BLANK_CHARS + "]", "")
+
+
 def resolve_columns(
     columns: Iterable[str], wanted: Sequence[str] = CLEANING_COLUMNS
 ) -> dict[str, str]:

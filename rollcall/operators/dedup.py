@@ -123,7 +123,8 @@ def id_stats(
     sample: int = 10,
 ) -> DataFrame:
     """One row: rows, unique ids, repeats, empty ids, and the first few ids."""
-    ids = ids_by_first_seen(df, id_col, order_by)
+    # Both uses ask for all columns, so they are the same aggregate, made once.
+    ids = ids_by_first_seen(df, id_col, order_by).filter("first_ord IS NOT NULL AND n > 0")
     total = F.coalesce(F.sum("n"), F.lit(0))
     unique = F.count(F.lit(1))
     first = ids.orderBy("first_ord").limit(sample)

@@ -9,7 +9,7 @@ there on, one row per day.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,11 +26,13 @@ from rollcall.columns import (
 from rollcall.functions.dates import answer_time, day_range, event_day, incentive_time, is_day_text
 from rollcall.functions.numbers import id_rank
 from rollcall.operators.dedup import first_per_key
+from rollcall.operators.joins import join_small
 from rollcall.operators.rows import audio_rows, end_time_rows, incentive_rows
+from rollcall.session import once
 
 PID = "ParticipantID"
 
-#: Most days a wide table may have. Only their names ever reach the driver.
+#: Most days that a wide table, or a page of one, may have. Only their names ever reach the driver.
 MAX_DAY_COLUMNS = 10_000
 
 
@@ -144,10 +146,21 @@ def day_list(daily: DataFrame, limit: int = MAX_DAY_COLUMNS) -> list[str]:
     """The same days as names for columns; an error beyond ``limit``."""
     names = [row.day for row in days(daily).limit(limit + 1).collect()]
     if len(names) > limit:
-        raise ValueError(f"more than {limit} days: use the long form instead of a wide table")
+        raise ValueError(f"more than {limit} days: use pages of columns, or the long form")
     return names
 
 
+def day_pages(daily: DataFrame, size: int = MAX_DAY_COLUMNS) -> Iterator[list[str]]:
+    """The same days in pages of ``size`` names, newest first; one empty page if there are none."""
+    page: list[str] = []
+    for row in days(daily).toLocalIterator():
+        if len(page) == size:
+            yield page
+            page = []
+        page.append(row.day)
+    yield page
+
+
 def latest_incentive(
     df: DataFrame, order_by: Sequence[str], cols: SurveyColumns = DEFAULT_COLUMNS
 ) -> DataFrame:
@@ -199,21 +212,45 @@ def _wide(
 
 
 def zero_fill(
-    totals: DataFrame | None, daily: DataFrame, day_names: Sequence[str]
+    totals: DataFrame | None, daily: DataFrame, day_names: Sequence[str] | DataFrame
 ) -> DataFrame:
     """Every participant with every day: the count, or 0.
 
-    The zeros come from unpivoting one row per participant inside its task, so
-    they are never joined for nor shuffled. ``totals`` names the participants, if
-    they are not just those of the counts.
+    ``totals`` names the participants, if they are not just those of the counts. Days given as names
+    are columns of one row per participant, which is unpivoted inside its task. Days given as a
+    frame (``day``) are never named on the driver, and there may be any number of them.
     """
     people = None if totals is None else totals.select(PID)
+    if isinstance(day_names, DataFrame):
+        return _fill(daily.select(PID).distinct() if people is None else people.distinct(), daily, day_names)
     wide = _wide(daily, people, day_names, "total")
     if not day_names:
         return wide.select(PID, F.lit("").alias("day"), F.lit(0).cast("bigint").alias("n")).limit(0)
     return wide.unpivot([col(PID)], [col(d) for d in day_names], "day", "n")
 
 
+def _fill(people: DataFrame, daily: DataFrame, days: DataFrame) -> DataFrame:
+    """Zeros between the counts of each participant, by the places of days in the calendar.
+
+    Each count makes the zeros up to the participant's next one, and a mark ahead of all counts makes those before
+    the first; so a participant is sorted once, as one row per count, and nothing is joined to make zeros.
+    """
+    newest_first = Window.orderBy(F.desc("day"))  # a calendar: one row per day
+    calendar = once(days.select("day").distinct().select("day", (F.row_number().over(newest_first) - 1).alias("at")))
+    end = calendar.agg(F.count(F.lit(1)).cast("int")).scalar()
+    counts = join_small(daily.select(PID, "day", "n"), calendar, ["day"]).select(PID, "at", "n")
+    marks = people.select(PID, F.lit(-1).alias("at"), F.lit(0).cast("bigint").alias("n"))
+    own = Window.partitionBy(PID).orderBy("at")
+    rows = counts.unionByName(marks).withColumns(
+        {"known": F.first("at").over(own) == -1, "until": F.lead("at").over(own)}
+    )
+    start, last = F.greatest(col("at"), F.lit(0)), F.coalesce(col("until"), end) - 1
+    places = F.when(start <= last, F.sequence(start, last)).otherwise(F.array().cast("array<int>"))
+    filled = rows.filter("known").select(PID, col("at").alias("of"), "n", F.explode(places).alias("at"))
+    filled = filled.select(PID, "at", F.when(col("at") == col("of"), col("n")).otherwise(F.lit(0)).alias("n"))
+    return join_small(filled, calendar, ["at"]).select(PID, "day", "n")
+
+
 def summary_order(totals: DataFrame) -> list[Column]:
     """Sort key of participants: whole-number ids by value, then others as first seen."""
     last = [col("first_ord")] if "first_ord" in totals.columns else []
@@ -247,6 +284,21 @@ def summary_wide(
     return _finish(wide.select(*head, *[col(c) for c in rest]), sort)
 
 
+def summary_pages(
+    daily: DataFrame, incentive: DataFrame | None, size: int = MAX_DAY_COLUMNS, sort: bool = False
+) -> list[DataFrame]:
+    """The summary in pages of at most ``size`` days, for any number of days.
+
+    Every page holds all participants in the same order; the first also has totals and incentives. Laid side by side
+    they are the summary, but no row of so many columns is ever made.
+    """
+    pages = []
+    for names in day_pages(daily, size):
+        page = summary_wide(daily, None, None if pages else incentive, names, sort)
+        pages.append(page.drop("TotalEntries", "Incentive") if pages else page)
+    return pages
+
+
 def audio_wide(
     audio_daily: DataFrame,
     audio_totals: DataFrame | None,

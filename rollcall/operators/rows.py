@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollcall.columns import (
@@ -22,6 +22,7 @@ from rollcall.columns import (
 )
 from rollcall.functions.dates import DAY_SHAPE
 from rollcall.functions.text import empty_default, ws_trim
+from rollcall.session import once
 
 
 def end_time_rows(df: DataFrame, cols: SurveyColumns = DEFAULT_COLUMNS) -> DataFrame:
@@ -125,3 +126,16 @@ def first_seen(df: DataFrame, key: str | Sequence[str], order_by: Sequence[str])
     keys = [key] if isinstance(key, str) else list(key)
     place: Column = F.min(order_value(order_names(order_by)))
     return df.groupBy(*[col(k) for k in keys]).agg(place.alias("first_ord"))
+
+
+def numbered(ordered: DataFrame, name: str = "position") -> DataFrame:
+    """The rows of a sorted frame with their places, from 0, without one task that sees all of them.
+
+    The rows are stored as sorted; rows of each task are counted, and each adds those of the tasks before.
+    """
+    stored = once(ordered.withColumn("__at", F.monotonically_increasing_id())).withColumn("__task", F.shiftright("__at", 33))
+    before = Window.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)  # a row per task
+    tasks = stored.groupBy("__task").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
+    tasks = tasks.select("__task", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    joined = stored.join(F.broadcast(tasks), "__task")
+    return joined.withColumn(name, col("__at") - col("__first") + col("__before")).drop("__at", "__task", "__first", "__before")

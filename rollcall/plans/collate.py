@@ -11,6 +11,7 @@ from rollcall.columns import DEFAULT_COLUMNS, ORD
 from rollcall.operators.dedup import dedup, dedup_stats
 from rollcall.operators.rows import ensure_columns, keys_first
 from rollcall.operators.sets import union_all
+from rollcall.session import once
 from rollcall.sources.csv import CsvFormat, Loaded, read_many
 from rollcall.sources.files import find_files
 
@@ -43,13 +44,21 @@ def collate(
     recursive: bool = False,
     fmt: CsvFormat = CsvFormat(),
     on_error: str = "skip",
+    store: bool = True,
 ) -> Collated:
-    """Find, read and stack CSV files, then keep one row per key."""
+    """Find, read and stack CSV files, then keep one row per key.
+
+    The stacked rows and the rows kept are stored as Parquet in the shared folder, so files are parsed once and
+    keys settled once, and whatever follows reads the columns it needs. They are not bucketed by participant: one
+    with a third of all rows would be one task in every later step. ``store=False`` leaves all of it to each use.
+    """
     found = find_files(spark, inputs, pattern, recursive, on_error)
     loaded = read_many(spark, found.paths, fmt, on_error)
     loaded = replace(loaded, skipped={**found.skipped, **loaded.skipped})
+    if store:
+        loaded = replace(loaded, df=once(loaded.df))
     done = _one_per_key(loaded.df, keys, ORD, keep, empty_keys)
-    return Collated(done.df, done.stats, loaded)
+    return Collated(once(done.df) if store else done.df, done.stats, loaded)
 
 
 def _one_per_key(

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Observation
 from rollcall.columns import DEFAULT_COLUMNS, ORD, SurveyColumns
 from rollcall.operators import participation as p
 from rollcall.operators import ranges, stats
+from rollcall.operators.joins import join_small
 from rollcall.operators.rows import end_time_rows
 from rollcall.session import once
 
@@ -62,7 +63,7 @@ class Participation:
     def audio_daily(self) -> DataFrame:
         """Audio counts; none at all when the survey has no ``end_time`` row."""
         audio = self._series.filter("audio").drop("audio")
-        if self.day_names:
+        if not p.days(self.daily).isEmpty():
             return audio
         return audio.filter(end_time_rows(self.survey, self.cols).exists())
 
@@ -77,6 +78,14 @@ class Participation:
     def summary(self) -> DataFrame:
         return p.summary_wide(self.daily, None, self.incentive, self.day_names, sort=True)
 
+    def summary_pages(self, size: int = p.MAX_DAY_COLUMNS) -> list[DataFrame]:
+        """The summary in pages of day columns, where one table would be too wide."""
+        return p.summary_pages(self.daily, self.incentive, size, sort=True)
+
+    def zero_filled(self) -> DataFrame:
+        """Every participant with every day, however many days there are."""
+        return p.zero_fill(None, self.daily, p.days(self.daily))
+
     def audio(self) -> DataFrame:
         return p.audio_wide(self.audio_daily, None, self.day_names, sort=True)
 
@@ -94,5 +103,5 @@ class Participation:
 
     def audio_view(self, n: str | int | None = "all", pid: str | None = None) -> DataFrame:
         """Audio counts of the days shown: days with entries, anchored on the newest of them."""
-        shown = self.audio_daily.filter(self.audio_daily.day.isin(*self.day_names))
+        shown = join_small(self.audio_daily, p.days(self.daily), ["day"], "left_semi")
         return ranges.filtered_view(shown, self.audio_totals, n, pid, anchor=self.daily)

@@ -7,9 +7,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from rollcall.columns import ORD, TRANSCRIPT_COLUMNS, order_names
+from rollcall.columns import ORD, TRANSCRIPT_COLUMNS, col, order_names
 from rollcall.operators.cleaning import clean
-from rollcall.operators.rows import in_input_order, report_columns, transcripts
+from rollcall.operators.rows import day_columns, in_input_order, report_columns, transcripts
 
 # CSV format of every output. A value is quoted only when it holds
 # the separator, a quote or a line end; inner quotes are doubled.
@@ -42,15 +42,22 @@ def dated_path(base: str, run_date: dt.date | str) -> str:
 
 
 def write_report(
-    summary: DataFrame,
+    summary: DataFrame | Sequence[DataFrame],
     audio: DataFrame | None,
     path: str,
     include_incentive: bool = False,
     mode: str = "errorifexists",
 ) -> None:
-    """Participation report: the summary, and the audio summary beside it."""
-    main = report_columns(summary, "TotalEntries", include_incentive)
-    write_csv(main, f"{path}/summary", mode)
+    """Participation report: the summary, and the audio summary beside it.
+
+    A summary in pages is written side by side, as ``summary/page=0`` and so on.
+    """
+    if isinstance(summary, DataFrame):
+        write_csv(report_columns(summary, "TotalEntries", include_incentive), f"{path}/summary", mode)
+    else:
+        for i, page in enumerate(summary):
+            shown = page.select("ParticipantID", *day_columns(page)) if i else report_columns(page, "TotalEntries", include_incentive)
+            write_csv(shown, f"{path}/summary/page={i}", mode)
     if audio is not None:
         write_csv(report_columns(audio, "TotalTextAudio"), f"{path}/audio", mode)
 
@@ -60,7 +67,9 @@ def write_cleaned(
 ) -> None:
     """Rows without upload repeats, original columns, in input order."""
     order = order_names(order_by)
-    write_csv(in_input_order(clean(df, order_by=order), order), path, mode)
+    # The sort samples its input first; spread by place, the rows are read from this shuffle both times.
+    spread = clean(df, order_by=order).repartition(*[col(c) for c in order])
+    write_csv(in_input_order(spread, order), path, mode)
 
 
 def write_transcripts(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -2,7 +2,7 @@ import datetime as dt
 
 import pytest
 
-from rollcall.columns import norm_header, rename_resolved, resolve_columns
+from rollcall.columns import norm_header, norm_header_text, rename_resolved, resolve_columns
 from rollcall.functions import dates, numbers, text
 from pyspark.sql import functions as F
 
@@ -171,3 +171,8 @@ def test_labels_of_days_in_no_calendar(spark):
     got = [value(spark, "2025-02-30", f) for f in (dates.label_short, dates.label_day, dates.label_month, dates.label_weekday)]
     assert got == ["Feb 30", 30, "Feb", "S"]  # March 2, 2025 is a Sunday
     assert value(spark, "2025-13-01", dates.label_short) is None and value(spark, "x", dates.label_day) is None
+
+
+@pytest.mark.parametrize("header", [" Prompt_ID", "\ufeffparticipant id\u00a0", "DATE", "Responded-At\t", "", None, "\u3000Ünï_code"])
+def test_headers_reduce_alike_as_text_and_in_a_column(spark, header):
+    assert value(spark, header, norm_header_text) == norm_header(header)

@@ -1,5 +1,6 @@
 import pytest
-from conftest import rows
+from pyspark.sql import functions as F
+from conftest import plan, rows
 
 from rollcall.operators import participation as p
 from rollcall.operators import ranges, stats
@@ -226,3 +227,63 @@ def test_partitioning_does_not_matter(survey):
     many = Participation(survey.repartition(7), order_by=["_row_ord"])
     assert one.summary().collect() == many.summary().collect()
     assert one.stats().collect() == many.stats().collect()
+
+
+def _many_days(spark, n, people=4):
+    """Participants with an entry on every ``k``-th of ``n`` days; the first day is 1900-01-01."""
+    day = F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd")
+    pid = F.explode(F.sequence(F.lit(1), F.lit(people))).alias("k")
+    rows_ = spark.range(n).select(day.alias("day"), "id", pid).filter("id % k = 0")
+    return rows_.select(F.col("k").cast("string").alias("ParticipantID"), "day", F.lit(2).cast("bigint").alias("n"))
+
+
+def test_zeros_for_more_days_than_a_table_has_columns(spark):
+    n = 20_000
+    daily = _many_days(spark, n)
+    filled = p.zero_fill(None, daily, p.days(daily))
+    got = {r.ParticipantID: r for r in filled.groupBy("ParticipantID").agg(
+        F.count("*").alias("rows"), F.count_distinct("day").alias("days"), F.sum("n").alias("n")
+    ).collect()}
+    assert {k: (r.rows, r.days, r.n) for k, r in got.items()} == {str(k): (n, n, 2 * -(-n // k)) for k in range(1, 5)}
+    assert filled.join(daily, ["ParticipantID", "day", "n"]).count() == daily.count()
+    text = plan(filled)
+    assert "CartesianProduct" not in text and "NestedLoop" not in text
+
+
+def test_zeros_of_participants_and_days_that_are_not_in_the_counts(spark, done):
+    people = spark.createDataFrame([("p1",), ("new",)], "ParticipantID string")
+    days = spark.createDataFrame([("2025-08-14",), ("2025-08-20",), ("2025-08-14",)], "day string")
+    assert rows(p.zero_fill(people, done.daily, days)) == [
+        ("new", "2025-08-14", 0), ("new", "2025-08-20", 0), ("p1", "2025-08-14", 2), ("p1", "2025-08-20", 0),
+    ]
+    assert p.zero_fill(None, done.daily, days.limit(0)).count() == 0
+    assert rows(done.zero_filled()) == rows(p.zero_fill(None, done.daily, done.day_names))
+
+
+def test_pages_side_by_side_are_the_summary(spark, done):
+    pages = done.summary_pages(2)
+    assert [day_columns(x) for x in pages] == [DAYS[:2], DAYS[2:]]
+    assert rows(pages[0].join(pages[1], "ParticipantID")) == rows(done.summary())
+    daily = _many_days(spark, 2500)
+    pages = p.summary_pages(daily, None, 1000)
+    assert [len(day_columns(x)) for x in pages] == [1000, 1000, 500]
+    assert "TotalEntries" in pages[0].columns and pages[2].columns[0] == "ParticipantID"
+    back = [unpivot_days(x, ["ParticipantID"]).filter("n > 0") for x in pages]
+    assert rows(back[0].union(back[1]).union(back[2])) == rows(daily, "ParticipantID", "day", "n")
+    assert p.summary_pages(daily.limit(0), None, 10)[0].count() == 0
+
+
+def test_rejects_are_counted_by_the_same_pass(table):
+    data = [
+        ("a", "end_time", "2025-08-15T1", "", ""),
+        ("a", "end_time", "nothing", "", ""),
+        ("b", "end_time", "xT1", "", ""),
+        ("b", "audio", "", "soon", ""),
+        ("b", "audio", "", "2025-08-15T1", ""),
+        ("b", "other", "x", "", ""),
+    ]
+    for with_audio in (True, False):
+        done = Participation(table(COLUMNS, data), order_by=["_row_ord"], with_audio=with_audio)
+        got = rows(done.rejects())
+        assert ("end_time", 3, 1, 1) in got and (("audio", 2, 1, 0) in got) == with_audio
+        assert done.daily.count() == 2

@@ -120,3 +120,26 @@ def test_file_ordinals_are_aggregated_without_a_sort(spark, stored):
     ):
         assert "SortAggregate" not in plan(done) and "HashAggregate" in plan(done)
     assert rows(d.dedup(df, None, ORD)) == rows(d.dedup(df, None, ["_row_ord"]))
+
+
+def test_id_figures_make_one_aggregate(stored):
+    figures = d.id_stats(stored, order_by=["_row_ord"])
+    figures.collect()
+    assert "ReusedExchange" in plan(figures) or "ReusedQueryStage" in plan(figures) or "ReusedSubquery" in plan(figures)
+
+
+def test_stored_collate_is_neither_parsed_nor_settled_again(spark, tmp_path):
+    from rollcall.plans.cleaning import Cleaning
+    from rollcall.plans.collate import collate
+    from rollcall.plans.participation import Participation
+
+    names = ("ResponseID", *COLUMNS, "PromptID")
+    head = ",".join(dict.fromkeys(names))
+    lines = [f"r{i % 7}," + ",".join("x" for _ in dict.fromkeys(names[1:])) for i in range(20)]
+    (tmp_path / "a.csv").write_text("\n".join([head, *lines]) + "\n")
+    merged = collate(spark, str(tmp_path / "a.csv"))
+    assert merged.df.count() == 7 and merged.stats.first().rows_before == 20
+    for result in (Cleaning(merged.df).cleaned(), Participation(merged.df).summary(), Participation(merged.df).incentive, merged.df):
+        text = plan(result)
+        assert "csv" not in text.lower().replace(str(tmp_path).lower(), "") and "FileScan parquet" in text
+    assert "Window" not in plan(merged.df) and "Window" in plan(collate(spark, str(tmp_path / "a.csv"), store=False).df)

@@ -95,3 +95,18 @@ def test_parquet(table, spark, tmp_path):
     sinks.write_parquet(df, str(tmp_path / "p"), ["day"])
     assert len(glob.glob(f"{tmp_path}/p/day=*")) == 2
     assert rows(spark.read.parquet(str(tmp_path / "p")), "x") == [("1",), ("2",)]
+
+
+def test_summary_in_pages(spark, tmp_path, table):
+    from rollcall.operators import participation as p
+
+    daily = spark.createDataFrame([("a", f"2025-08-{i:02}", i) for i in range(1, 6)], "ParticipantID string, day string, n bigint")
+    path = str(tmp_path / "pages")
+    sinks.write_report(p.summary_pages(daily, None, 2), None, path)
+    found = [read_csv(spark, f"{path}/summary/page={i}") for i in range(3)]
+    assert [x.columns for x in found] == [
+        ["ParticipantID", "TotalEntries", "2025-08-05", "2025-08-04"],
+        ["ParticipantID", "2025-08-03", "2025-08-02"],
+        ["ParticipantID", "2025-08-01"],
+    ]
+    assert [tuple(x.first()) for x in found] == [("a", "15", "5", "4"), ("a", "3", "2"), ("a", "1")]
