@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rollcall.llm.registry import query, table
+from rollcall.operators.joins import join_aggregate
 from rollcall.session import once
 
 GRAM_WORDS = 25
@@ -57,7 +58,6 @@ def _line_hashes(docs: DataFrame, key: str, text: str) -> DataFrame:
             F.xxhash64("t").alias("h"),
             F.filter(F.transform(F.split("t", "\n"), line), lambda x: x["w"] > 0).alias("lines"),
         )
-        .where(F.size("lines") > 0)
     )
 
 
@@ -103,7 +103,7 @@ def repeated_stretches(placed: DataFrame) -> DataFrame:
     """(k, h, pos): places of the lines of all stretches that stood before."""
     stretches = placed.select("k", "h", F.explode(F.array_compact(F.array("onward", "back"))).alias("x")).select("k", "h", "x.*")
     first = stretches.groupBy("s").agg(F.min(F.struct("k", "h", "a")).alias("p"), F.count("*").alias("n"))
-    later = stretches.join(first.where("n > 1").drop("n"), "s").where(~F.struct("k", "h", "a").eqNullSafe(F.col("p")))
+    later = join_aggregate(stretches, first.where("n > 1").drop("n"), ["s"]).where(~F.struct("k", "h", "a").eqNullSafe(F.col("p")))
     return later.select("k", "h", F.explode(F.sequence("a", "z")).alias("pos"))
 
 
@@ -120,12 +120,13 @@ def repeated_lines(
     run_words: int = RUN_WORDS,
 ) -> DataFrame:
     """(k, h, gone): per document the places of the lines that repeat an earlier run, sorted."""
-    hashed = once(_line_hashes(docs, key, text).distinct())
+    # a filter on the lines ahead of this would be pushed down and hash them all twice
+    hashed = once(_line_hashes(docs, key, text).distinct()).where(F.size("lines") > 0)
     placed = once(_placed(hashed, gram_words, run_words))
     picked = once(selected_grams(placed))
-    first = picked.groupBy("g").agg(F.min(F.struct("k", "h", "i")).alias("p"))
+    first = picked.groupBy("g").agg(F.min(F.struct("k", "h", "i")).alias("p"), F.count("*").alias("n"))
     meetings = (
-        picked.join(first, "g")
+        join_aggregate(picked, first.where("n > 1").drop("n"), ["g"])
         .where(~F.struct("k", "h", "i").eqNullSafe(F.col("p")))
         .groupBy("k", "h", F.col("p.k").alias("k0"), F.col("p.h").alias("h0"), (F.col("i") - F.col("p.i")).alias("shift"))
         .agg(F.array_sort(F.collect_list("i")).alias("at"))
