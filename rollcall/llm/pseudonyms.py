@@ -2,14 +2,19 @@
 
 Found in texts, validated and replaced:
 
-``card``    13 to 19 digits, spaced or hyphened in groups or not, that pass the Luhn check
-``phone``   +, country code and 7 to 14 further digits with usual punctuation
+``card``    13 to 19 digits that pass the Luhn check, in one group or in several with spaces or hyphens between
+``phone``   +, country code and 7 to 14 further digits with usual punctuation; ddd-ddd-dddd and (ddd) ddd-dddd
+``iban``    account numbers of the countries in ``IBAN_LENGTHS`` that pass their check, spaced or not
 ``ip``      IPv4 addresses (each number at most 255)
 ``email``   addresses; the digits and letters of the name are permuted, and so the host's first label
 ``ssn``     ddd-dd-dddd outside of the ranges never given out
 ``date``    ISO (2024-01-31) and d/m/y or m/d/y dates that are days of the calendar
 ``digits``  other numbers of 9 to 19 digits that stand alone
 
+At every place the kinds are tried in turn. Where digits go on in further groups, the parts that end with a group are
+tried, so neither a code nor another number behind a card or phone hides it; and where nothing fits, the
+next group is tried.
+
 Each value is a point of the finite set of values of its kind and format, and is moved by a
 permutation of that set: a Feistel network of ``ROUNDS`` keyed rounds over numbers, walked on
 until it lands inside the set again (cycle walking). So a pseudonym has the format of its value (a
@@ -17,6 +22,9 @@ card number passes the Luhn check, a date is a day of the calendar, punctuation
 equal values get equal pseudonyms in all documents however they are punctuated, different ones get
 different ones, and who holds the key can go back.
 
+The way back reads a text as the way there does. It is exact but for digit groups that stand ahead of a replaced
+number in one row of groups: in one of about ten such rows they and the new digits pass for a card together.
+
 Defined results: null stays null, empty stays empty; a text without such data stays as it is;
 numbers that fail validation as one kind are tried as the next; repeated rows come out
 alike; tables may be empty; other columns pass through, whatever their names.
@@ -94,16 +102,43 @@ def _plain(text: str) -> str:
     return re.sub(r"\D", "", text)
 
 
+def _is_card(number: str) -> bool:
+    return 13 <= len(number) <= 19 and luhn_digit(number[:-1]) == number[-1]
+
+
+#: Sizes of the groups in which cards are usually printed (fixed values).
+CARD_GROUPS = ((4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3), (4, 4, 5))
+
+
+def _card_ends(value: str) -> list[int]:
+    """Where a card number at the beginning of a row of digit groups can end, the usual groups first."""
+    ends = [m.end() for m in re.finditer(r"\d+", value)]
+    sizes = [len(g) for g in re.findall(r"\d+", value)]
+    usual = [len(g) - 1 for g in CARD_GROUPS if tuple(sizes[: len(g)]) == g]
+    return [ends[i] for i in dict.fromkeys([*usual, *range(len(ends))])]
+
+
+def _card_at(value: str) -> int | None:
+    """Where the card number ends that stands at the beginning of a row of digit groups."""
+    return next((end for end in _card_ends(value) if _is_card(_plain(value[:end]))), None)
+
+
 def card(value: str, feistel: Feistel) -> str | None:
-    number = _plain(value)
-    if not 13 <= len(number) <= 19 or luhn_digit(number[:-1]) != number[-1]:
+    """Walked on past numbers of which a part would be taken for the card."""
+    if _card_at(value) != len(value):
         return None
-    payload = feistel.digits(number[:-1], "card")
-    return _fill(value, payload + luhn_digit(payload))
+    number = _plain(value)
+    while True:
+        payload = feistel.digits(number[:-1], "card")
+        number = payload + luhn_digit(payload)
+        if _card_at(new := _fill(value, number)) == len(value):
+            return new
 
 
 def phone(value: str, feistel: Feistel) -> str | None:
     number = _plain(value)
+    if not value.startswith("+"):  # a number of ten digits belongs to country 1
+        return _fill(value, feistel.digits(number, "phone1"))
     if not 8 <= len(number) <= 15:
         return None
     code = re.match(r"\+\d{1,3}(?=\D)", value)  # a country code that stands apart stays
@@ -111,6 +146,38 @@ def phone(value: str, feistel: Feistel) -> str | None:
     return _fill(value, number[:kept] + feistel.digits(number[kept:], "phone" + number[:kept]))
 
 
+#: Characters of an account number in each country (fixed values).
+IBAN_LENGTHS = {
+    "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27,
+    "GB": 22, "GR": 27, "HR": 21, "HU": 28, "IE": 22, "IS": 26, "IT": 27, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27,
+    "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SA": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TR": 26,
+}
+
+
+def _remainder(account: str, country: str, check: str) -> int:
+    return int("".join(str(int(c, 36)) for c in account + country + check)) % 97
+
+
+def iban(value: str, feistel: Feistel) -> str | None:
+    """Digits and letters behind country and check are moved as one number; the check follows."""
+    plain = value.replace(" ", "")
+    country, check, account = plain[:2], plain[2:4], plain[4:]
+    if len(plain) != IBAN_LENGTHS.get(country) or _remainder(account, country, check) != 1:
+        return None
+    radix = [10 if c.isdigit() else 26 for c in account]
+    x, n = 0, 1
+    for c, r in zip(account, radix, strict=True):
+        x, n = x * r + (int(c) if r == 10 else ord(c) - 65), n * r
+    shape = country + "".join("9" if r == 10 else "A" for r in radix)
+    x, out = feistel.permute(x, n, f"iban{shape}"), []
+    for r in reversed(radix):
+        x, d = divmod(x, r)
+        out.append(str(d) if r == 10 else chr(65 + d))
+    account = "".join(reversed(out))
+    signs = iter(country + f"{98 - _remainder(account, country, '00'):02d}" + account)
+    return "".join(c if c == " " else next(signs) for c in value)
+
+
 def ip(value: str, feistel: Feistel) -> str | None:
     parts = [int(p) for p in value.split(".")]
     if any(p > 255 for p in parts):
@@ -161,23 +228,26 @@ def _move_day(day: date, feistel: Feistel) -> date:
 
 
 def day(value: str, feistel: Feistel) -> str | None:
-    a, b, c = (int(x) for x in re.split(r"\D", value))
-    iso = len(re.split(r"\D", value)[0]) == 4
+    texts = re.split(r"\D", value)
+    a, b, c = (int(x) for x in texts)
+    iso = len(texts[0]) == 4
     year, month, dom = (a, b, c) if iso else (c, b, a)
     american = not iso and month > 12
     if american:
         month, dom = dom, month
     if not FIRST_DAY.year <= year <= LAST_DAY.year or not 1 <= month <= 12 or not 1 <= dom <= calendar.monthrange(year, month)[1]:
         return None
-    moved, sign = _move_day(date(year, month, dom), feistel), re.search(r"\D", value).group()
-    if iso:
-        return f"{moved.year:04d}{sign}{moved.month:02d}{sign}{moved.day:02d}"
-    # which of month and day comes first shows only where one is above 12: walk on to such a day
-    while american and moved.day <= 12:
+    sign = re.search(r"\D", value).group()
+    moved = date(year, month, dom)
+    while True:
         moved = _move_day(moved, feistel)
-    if american:
-        return f"{moved.month:02d}{sign}{moved.day:02d}{sign}{moved.year:04d}"
-    return f"{moved.day:02d}{sign}{moved.month:02d}{sign}{moved.year:04d}"
+        if iso:
+            return f"{moved.year:04d}{sign}{moved.month:02d}{sign}{moved.day:02d}"
+        parts = (moved.month, moved.day) if american else (moved.day, moved.month)
+        # a part of one digit stays so, and which of month and day comes first shows only where one is above 12: walk on
+        # to a day that can be written like this one
+        if all(len(t) == 2 or p < 10 for t, p in zip(texts, parts, strict=False)) and not (american and moved.day <= 12):
+            return sign.join(f"{p:0{len(t)}d}" for t, p in zip(texts, (*parts, moved.year), strict=True))
 
 
 def number(value: str, feistel: Feistel) -> str | None:
@@ -189,50 +259,123 @@ def number(value: str, feistel: Feistel) -> str | None:
 
 
 _EDGE, _END = r"(?<![\w.+-])", r"(?![\w-]|\.\d)"
-#: Kinds in the order in which they are tried: name, pattern, replacement.
-KINDS: list[tuple[str, str, Callable[[str, Feistel], str | None]]] = [
-    ("email", r"(?<![\w.+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w-])", email),
-    ("date", _EDGE + r"(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})" + _END, day),
-    ("ssn", _EDGE + r"\d{3}-\d{2}-\d{4}" + _END, ssn),
-    ("ip", _EDGE + r"\d{1,3}(?:\.\d{1,3}){3}" + _END, ip),
-    ("card", _EDGE + r"\d(?:[ -]?\d){12,18}" + _END, card),
-    ("phone", r"(?<![\w+])\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?![\w-])", phone),
-    ("digits", _EDGE + r"\d{9,19}" + _END, number),
+#: Kinds told by one pattern, in the order in which they are tried: name, pattern, replacement.
+KINDS: list[tuple[str, re.Pattern, Callable[[str, Feistel], str | None]]] = [
+    ("date", re.compile(_EDGE + r"(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4})" + _END), day),
+    ("ssn", re.compile(_EDGE + r"\d{3}-\d{2}-\d{4}" + _END), ssn),
+    ("ip", re.compile(_EDGE + r"\d{1,3}(?:\.\d{1,3}){3}" + _END), ip),
+    ("phone", re.compile(r"(?<![\w.+-])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}" + _END), phone),
 ]
-#: Numbers are looked for where a digit or + stands, addresses where an @ stands.
-_SEED = re.compile(r"[+0-9@]")
-_NUMERIC = re.compile("|".join(pattern for name, pattern, _ in KINDS if name != "email"))
-_EMAIL = re.compile(KINDS[0][1])
+_DIGITS = re.compile(_EDGE + r"\d{9,19}" + _END)
+_EMAIL = re.compile(r"(?<![\w.+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w-])")
 _NAME_SIGN = re.compile(r"[A-Za-z0-9._%+-]")
+#: Rows of digit groups in which a card or phone may stand; behind a hyphen only if digits stand before it.
+_GROUPS = re.compile(r"(?<![\w.+])(?<![A-Za-z_]-)\d+(?:[ -]\d+)*")
+_GROUPS_END = re.compile(r"(?!\w|\.\d|-[A-Za-z_])")
+_PHONE = re.compile(r"(?<![\w+])\+\d+(?:[ .-]?\(?\d+\)?)*")
+_PHONE_GROUP = re.compile(r"\d+\)?")
+_DIGIT_GROUP = re.compile(r"\d+")
+#: Digits by which a number with country code is complete, if a group ends there.
+PHONE_DIGITS = 11
+_IBAN = re.compile(r"(?<![\w-])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}")
+#: Places at which something may begin: numbers where a digit, + or ( stands, addresses around an @.
+_SEED = re.compile(r"[+(0-9@]")
+
+
+def _phone_end(text: str, at: int) -> int | None:
+    """Where the phone number with country code at ``at`` ends: at the first group that makes it complete, else the last."""
+    row = _PHONE.match(text, at)
+    if not row:
+        return None
+    best, digits, groups = None, 0, 0
+    for group in _PHONE_GROUP.finditer(text, at, row.end()):
+        digits, groups = digits + len(_plain(group.group())), groups + 1
+        if digits > 15:
+            break
+        if digits >= 8 and _GROUPS_END.match(text, group.end()):
+            best = group.end()
+            if digits >= PHONE_DIGITS:
+                break
+    return best
+
+
+def _iban_end(text: str, at: int) -> int | None:
+    """Where the account number at ``at`` ends, by its country's length."""
+    row = _IBAN.match(text, at)
+    left = IBAN_LENGTHS.get(text[at : at + 2]) if row else None
+    if left is None:
+        return None
+    for i in range(at, row.end()):
+        left -= text[i] != " "
+        if left == 0:
+            return i + 1 if not re.match(r"\w", text[i + 1 : i + 2]) else None
+    return None
 
 
-def _candidates(text: str) -> Iterator[tuple[int, int]]:
-    """Spans that match a kind's pattern, in order, not overlapping."""
-    done = 0
-    for seed in _SEED.finditer(text):
-        at = seed.start()
-        if at < done:
-            continue
-        if text[at] == "@":
-            while at > done and _NAME_SIGN.match(text, at - 1):
-                at -= 1
-            m = _EMAIL.match(text, at)
-        else:
-            # the name of an address may begin with digits
-            m = _EMAIL.match(text, at) or _NUMERIC.match(text, at)
-        if m:
-            done = m.end()
-            yield m.start(), done
-
-
-@lru_cache(maxsize=100_000)
-def _replace(key: bytes, back: bool, value: str) -> tuple[str, str] | None:
-    """(kind, pseudonym) of a value, by the first kind that it is valid for."""
-    feistel = Feistel(key, back)
-    for name, pattern, change in KINDS:
-        if re.fullmatch(pattern, value) and (new := change(value, feistel)) is not None:
-            return name, new
-    return None
+Hit = tuple[str, int, int, str]
+
+
+class Finder:
+    """Personal data and its pseudonyms, under one key."""
+
+    def __init__(self, key: bytes, back: bool = False):
+        feistel = Feistel(key, back)
+        self._change = {name: change for name, _, change in KINDS} | {"email": email, "card": card, "iban": iban, "digits": number}
+        # values recur, as the same people do
+        self._new = lru_cache(maxsize=100_000)(lambda name, value: self._change[name](value, feistel))
+
+    def _spans(self, text: str, at: int) -> Iterator[tuple[str, int, int]]:
+        """(kind, start, end) of what may stand at ``at``, in the order of trying."""
+        if m := _EMAIL.match(text, at):
+            yield "email", at, m.end()
+        if end := _iban_end(text, at):
+            yield "iban", at, end
+        for name, pattern, _ in KINDS:
+            if m := pattern.match(text, at):
+                yield name, at, m.end()
+        if row := _GROUPS.match(text, at):
+            for end in _card_ends(row.group()):
+                if _GROUPS_END.match(text, at + end):
+                    yield "card", at, at + end
+        if end := _phone_end(text, at):
+            yield "phone", at, end
+        if m := _DIGITS.match(text, at):
+            yield "digits", at, m.end()
+
+    def hit(self, text: str, at: int) -> Hit | None:
+        """What stands at ``at``: (kind, start, end, pseudonym)."""
+        for name, start, end in self._spans(text, at):
+            if (new := self._new(name, text[start:end])) is not None:
+                return name, start, end, new
+        return None
+
+    def hits(self, text: str) -> Iterator[Hit]:
+        """All that is found, in order, not overlapping."""
+        done = skipped = 0
+        addresses = "@" in text
+        for seed in _SEED.finditer(text):
+            at = seed.start()
+            if at < max(done, skipped):
+                continue
+            if addresses:  # an address may have begun before
+                while at > done and _NAME_SIGN.match(text, at - 1):
+                    at -= 1
+            if at >= done + 2 and text[at].isdigit() and text[at - 1].isupper() and text[at - 2].isupper():
+                at -= 2  # an account number begins with its country
+            hit = self.hit(text, at)
+            while hit is None and at < seed.start():
+                at += 1
+                hit = self.hit(text, at)
+            if hit:
+                done = hit[2]
+                yield hit
+            elif text[at].isdigit():  # on to the next group
+                skipped = _DIGIT_GROUP.match(text, at).end()
+
+
+@lru_cache(maxsize=4)
+def finder(key: bytes, back: bool = False) -> Finder:
+    return Finder(key, back)
 
 
 def pseudonymize(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
@@ -240,11 +383,10 @@ def pseudonymize(text: str, key: bytes, back: bool = False) -> tuple[str, list[t
     parts: list[str] = []
     found: list[tuple[str, int, int]] = []
     at = 0
-    for begin, end in _candidates(text):
-        if (hit := _replace(key, back, text[begin:end])) is not None:
-            parts += [text[at:begin], hit[1]]
-            found.append((hit[0], begin, end))
-            at = end
+    for kind, start, end, new in finder(key, back).hits(text):
+        parts += [text[at:start], new]
+        found.append((kind, start, end))
+        at = end
     parts.append(text[at:])
     return "".join(parts), found
 
