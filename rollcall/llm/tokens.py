@@ -1,9 +1,8 @@
 """Byte-level BPE ids of whole texts.
 
 The vocabulary is read from a ``tokenizers`` file; its ranks are handed to ``tiktoken``,
-which merges several times faster. The ids are the same as those of ``tokenizers`` with
-``encode_special_tokens`` set, so strings of special tokens are ordinary text (tests hold
-the two against each other).
+which merges several times faster. The ids are those that ``tokenizers`` gives by default, so a text is
+cut at the strings of added tokens first, and each is one id (tests hold the two against each other).
 """
 
 from __future__ import annotations
@@ -37,22 +36,24 @@ class Encoder:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
+        self._added = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
         byte_of = _byte_of()
         ranks = {
-            bytes(byte_of[c] for c in word): i for word, i in tokenizer.get_vocab().items() if word not in special
+            bytes(byte_of[c] for c in word): i for word, i in tokenizer.get_vocab().items() if word not in self._added
         }
-        self._encode = tiktoken.Encoding(
-            path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}
-        ).encode_ordinary
+        self._encoding = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self._added)
         #: Bytes of each id.
-        self.n_bytes = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
-        for word, i in ranks.items():
+        self.n_bytes = np.zeros(max(*ranks.values(), *self._added.values()) + 1, dtype=np.int64)
+        for word, i in [*ranks.items(), *((w.encode(), i) for w, i in self._added.items())]:
             self.n_bytes[i] = len(word)
 
     def ids(self, text: str) -> np.ndarray:
         """Ids of the whole text, as unsigned 32-bit numbers."""
-        return np.frombuffer(array("I", self._encode(text)), dtype=np.uint32)
+        if any(word in text for word in self._added):
+            ids = self._encoding.encode(text, allowed_special="all")
+        else:
+            ids = self._encoding.encode_ordinary(text)
+        return np.frombuffer(array("I", ids), dtype=np.uint32)
 
 
 @lru_cache(maxsize=2)

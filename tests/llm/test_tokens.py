@@ -11,9 +11,7 @@ PARTS = ["a", "b ", " ", "  ", "\n", "\t", "'s", "é", "1", "23", "!", " ", "
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(default_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(default_path())
 
 
 def test_ids_are_those_of_the_tokenizer(tokenizer):
@@ -23,6 +21,14 @@ def test_ids_are_those_of_the_tokenizer(tokenizer):
         assert own.ids(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_added_tokens_are_one_id(tokenizer):
+    own = encoder(default_path())
+    for content in own._added:
+        for text in (content, f"a {content} b:", f"x{content}{content}y", content[:-1], content[1:] + content):
+            assert own.ids(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+    assert own._added
+
+
 def brute(tokenizer, parts, rule):
     """Counts per field from the tokenizer's own offsets."""
     text = "\n".join(parts)
