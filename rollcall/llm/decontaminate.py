@@ -5,10 +5,9 @@ its five-word shingles, weighted by how often they occur in it; two windows are
 the sum of the lesser weights is at least ``SIMILARITY`` hundredths of the sum of the greater
 ones.
 
-1.  *Windows.* A window that shares no shingle with an item is like none, so windows are
-    formed only where a document holds an item's shingle: for every such meeting, the windows
-    of the item's size that begin within ``SLACK`` words of where the item would begin.
-    Which shingles items have is all that is taken from the meeting.
+1.  *Windows.* Of a window that is like an item, 6 of 7 shingles at least are the item's. So the places where a document
+    holds shingles of an item are listed, and every window of the item's size that takes in that
+    many of them is formed, and no other; none that can be like the item is left out.
 2.  *Fingerprints.* A window's 64 bits are the signs of its summed shingle bits; running
     sums over a document give all its windows' bits at once.
 3.  *Multi-index.* The 64 bits are cut into ``BLOCKS`` blocks. Two fingerprints that differ in at
@@ -44,8 +43,6 @@ BITS = 64
 BLOCKS = 13
 #: One bit per block may differ, and one more in all but one of them.
 RADIUS = 2 * BLOCKS - 1
-#: Words inserted or left out that a window's beginning allows for.
-SLACK = 2
 #: Distinct item shingles (8 bytes each) that may be sent to all executors.
 BROADCAST_SHINGLES = 2_000_000
 
@@ -115,14 +112,27 @@ def _index(df: DataFrame, near: bool) -> DataFrame:
 
 def _of_width(docs: DataFrame, items: DataFrame, key: str, text: str, width: int) -> DataFrame:
     """Matches of items whose shingles have ``width`` words."""
-    grams = items.select(F.posexplode("ws").alias("q", "s"), "size").distinct()
+    grams = items.select("item", "size", F.size("ws").alias("m"), F.explode("ws").alias("s")).distinct()
     few = grams.count() <= BROADCAST_SHINGLES
     hashed = _hashed(docs, key, text, width)
-    begins = F.sequence(F.greatest(F.col("pos") - F.col("q") - SLACK, F.lit(0)), F.greatest(F.col("pos") - F.col("q") + SLACK, F.lit(0)))
-    windows = (
-        hashed.select("k", "h", F.posexplode_outer("sh").alias("pos", "s"))
+    places = (
+        hashed.select("k", "h", F.size("sh").alias("len"), F.posexplode_outer("sh").alias("pos", "s"))
         .join(F.broadcast(grams) if few else grams, "s")
-        .select("k", "h", "size", F.explode(begins).alias("begin"))
+        .groupBy("k", "h", "len", "item", "size", "m")
+        .agg(F.sort_array(F.collect_set("pos")).alias("at"))  # of one document
+    )
+    # like: common / (own + item's - common) >= SIMILARITY hundredths
+    own = F.least("m", "len")
+    need = F.ceil((own + F.col("m")) * SIMILARITY / (100 + SIMILARITY)).cast("int")
+    places = places.select("k", "h", "len", "size", "at", own.alias("own"), need.alias("need")).where(F.size("at") >= F.col("need"))
+    # windows that take in ``need`` places from the i-th on begin from ``low`` to ``high``
+    low = F.greatest(F.lit(0), F.get("at", F.col("i") + F.col("need") - 1) - F.col("own") + 1)
+    high = F.least(F.get("at", F.col("i")), F.col("len") - F.col("own"))
+    windows = (
+        places.select("*", F.explode(F.sequence(F.lit(0), F.size("at") - F.col("need"))).alias("i"))
+        .select("k", "h", "size", low.alias("low"), high.alias("high"))
+        .where("low <= high")
+        .select("k", "h", "size", F.explode(F.sequence("low", "high")).alias("begin"))
         .distinct()
     )
     per_doc = once(windows.groupBy("k", "h").agg(F.collect_list(F.struct("begin", "size")).alias("wins")))

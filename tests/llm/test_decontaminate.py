@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 from rollcall.llm.decontaminate import contaminations, decontaminate
@@ -49,6 +50,26 @@ def test_all_matches_of_brute_force(spark, docs):
     assert {k: round(v[0], 9) for k, v in got.items()} == {k: round(v[0], 9) for k, v in want.items()}
 
 
+def test_passages_with_words_put_in_and_taken_out_anywhere(spark, docs):
+    """Changes at both ends and in the middle, so that the best window begins where no shingle says so."""
+    rng = random.Random(4)
+    item = prose(5, 200).split()
+    new = iter(f"n{i}" for i in range(100_000))
+    put = lambda n: [next(new) for _ in range(n)]
+    rows = [(0, " ".join(put(10) + item[10:100] + put(20) + item[100:190] + put(10)))]
+    for i in range(1, 40):
+        words = list(item)
+        for _ in range(rng.randint(1, 4)):
+            at, n = rng.randrange(len(words)), rng.randint(1, 12)
+            words[at : at + rng.choice([0, n])] = put(rng.choice([0, n]))
+        rows.append((i, " ".join(put(rng.randrange(30)) + words + put(rng.randrange(30)))))
+    one = [(9, " ".join(item))]
+    table = spark.createDataFrame(one, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): round(r.similarity, 9) for r in contaminations(docs(rows), table).collect()}
+    want = {k: round(v[0], 9) for k, v in brute(rows, one).items()}
+    assert got == want and round(want[0, 9], 2) == 0.78 and 10 < len(want) < 40
+
+
 def test_clean_documents_and_rows_without_an_id_stay(spark, docs):
     rows = [(None, ITEMS[0][1]), (1, ITEMS[0][1]), (1, ITEMS[0][1]), (2, "clean"), (3, None)]
     df = docs(rows)
