@@ -8,19 +8,28 @@ that are matched.
 
 Only stretches of a document that can reach the least coverage are aligned: a template's rarer
 words must stand there. The stretch begins and ends within a template's length of these words, so long
-documents cost no more than short ones, and a text that occurs twice is found twice.
+documents cost no more than short ones. In a stretch every window that holds enough of the template's
+words in any order is aligned: for templates of up to ``FINE`` words, every window of up to nearly twice their length
+that begins and ends with one of their words; for longer ones windows of their length, somewhat more and nearly twice
+as much, that begin an eighth of it apart. A window that fails leaves the others to be tried, and a text that
+occurs twice is found twice.
+
+A license may have several texts; ``SPDX-License-Identifier`` lines are among those given here. Templates may also
+be a table (license, text) with whole license texts, which is small and read by the driver.
 
 Defined results: null and empty texts have no license; a document may hold several, and one line per
-template and place is returned; equal coverage of one place by several templates goes to the longest,
-then to the first name; repeated rows are reported each for itself; tables may be empty; other columns
-are not read, whatever their names; templates of no words match nothing.
+license and place is returned; places do not overlap: the one with most words matched is taken, of equal ones the
+one with greater coverage, then the license that comes first by name, then the earlier place; repeated
+rows are reported each for itself; tables may be empty; other columns are not read,
+whatever their names; templates of no words match nothing.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterator, Mapping
+from collections import Counter
+from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,9 +41,13 @@ from rollcall.llm.registry import query, table
 COVERAGE = 0.8
 #: Words of a template by which stretches are found: a match must hold one of them.
 SEEDS = 6
+#: Words of a template up to which windows begin at every word.
+FINE = 16
+#: Bytes of license texts that go to every task.
+TEMPLATE_BYTES = 16 * 1024 * 1024
 
 #: Notices by which licenses are commonly declared (fixed values).
-TEMPLATES = {
+NOTICES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": (
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in '
@@ -59,6 +72,16 @@ TEMPLATES = {
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
 }
+#: Licenses that are also declared by their identifier alone (fixed values).
+IDENTIFIERS = (
+    "0BSD", "AGPL-3.0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0",
+    "CC0-1.0", "EPL-2.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense", "Zlib",
+)
+TEMPLATES = {name: (text,) for name, text in NOTICES.items()}
+for _name in IDENTIFIERS:
+    TEMPLATES[_name] = (*TEMPLATES.get(_name, ()), f"SPDX-License-Identifier: {_name}")
+
+Templates = Mapping[str, str | Sequence[str]]
 
 _WORD = re.compile(r"[\w.+-]*\w")
 
@@ -118,89 +141,95 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 
 
 class Scanner:
-    def __init__(self, templates: Mapping[str, str], coverage: float):
+    def __init__(self, templates: Templates, coverage: float):
         self.coverage = coverage
-        self.templates = {name: w for name, text in templates.items() if (w := words(text))}
-        held: dict[str, int] = {}
-        for w in self.templates.values():
-            for x in set(w):
-                held[x] = held.get(x, 0) + 1
-        #: Template names by each word that can lead to them. With as many distinct words missing as are
+        #: (license, words) of every text that has words.
+        self.templates: list[tuple[str, list[str]]] = []
+        for name in sorted(templates):
+            texts = templates[name]
+            self.templates += [(name, w) for text in ([texts] if isinstance(texts, str) else texts) if (w := words(text))]
+        held: Counter[str] = Counter(x for _, w in self.templates for x in set(w))
+        #: Templates by each word that can lead to them. With as many distinct words missing as are
         #: seeds, less than the least coverage would be left, so one seed at least is in any match.
-        self.leads: dict[str, list[str]] = {}
-        for name, w in self.templates.items():
+        self.leads: dict[str, list[int]] = {}
+        for i, (_, w) in enumerate(self.templates):
             least = int((1 - coverage) * len(w)) + 1
             rare = sorted(set(w), key=lambda x: (held[x], -len(x), x))[: max(SEEDS, least)]
             for x in rare:
-                self.leads.setdefault(x, []).append(name)
+                self.leads.setdefault(x, []).append(i)
         self.maybe = re.compile("|".join(sorted(map(re.escape, self.leads), key=len, reverse=True)) or r"(?!)", re.IGNORECASE)
 
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
-        """(template, coverage, start, end), in characters of the text."""
+        """(license, coverage, start, end), in characters of the text."""
         if not self.maybe.search(text):
             return []
         spans = [(m.start(), m.end()) for m in _WORD.finditer(text)]
         own = [text[a:z].lower() for a, z in spans]
-        hits: dict[str, list[int]] = {}
+        hits: dict[int, list[int]] = {}
         for i, w in enumerate(own):
-            for name in self.leads.get(w, ()):
-                hits.setdefault(name, []).append(i)
+            for template in self.leads.get(w, ()):
+                hits.setdefault(template, []).append(i)
         found = []
-        for name, at in hits.items():
-            template, begin = self.templates[name], 0
-            n = len(template)
+        for template, at in hits.items():
+            name, w = self.templates[template]
+            n, begin = len(w), 0
             while begin < len(at):
                 end = begin
                 while end + 1 < len(at) and at[end + 1] - at[end] <= n:
                     end += 1
                 low, high = max(0, at[begin] - n), min(len(own), at[end] + n + 1)
-                found += self._stretch(name, template, own, low, high)
+                found += [(a, z, matched, matched / n, name) for a, z, matched in self.stretch(w, own, low, high)]
                 begin = end + 1
         kept: list[tuple[int, int, float, str]] = []
-        for a, z, part, name in sorted(found, key=lambda f: (-f[2] * len(self.templates[f[3]]), f[3], f[0])):
+        for a, z, _, part, name in sorted(found, key=lambda f: (-f[2], -f[3], f[4], f[0], f[1])):
             if all(z <= b or a >= y for b, y, _, _ in kept):
                 kept.append((a, z, part, name))
         return [(name, part, spans[a][0], spans[z - 1][1]) for a, z, part, name in sorted(kept)]
 
-    def _stretch(self, name: str, template: list[str], own: list[str], low: int, high: int) -> list[tuple[int, int, float, str]]:
-        """All places of one template in own[low:high]."""
-        out, todo, n = [], [(low, high)], len(template)
-        while todo:
-            low, high = todo.pop()
-            if high - low < self.coverage * n:
-                continue
-            # the window of the template's length that holds most of its words
-            want = set(template)
-            inside = [w in want for w in own[low:high]]
-            width = min(high - low, n + n // 4)
-            count = best = sum(inside[:width])
-            at = 0
-            for i in range(width, len(inside)):
-                count += inside[i] - inside[i - width]
-                if count > best:
-                    best, at = count, i - width + 1
-            if best < self.coverage * n * 0.5:
+    def stretch(self, template: list[str], own: list[str], low: int, high: int) -> list[tuple[int, int, int]]:
+        """(first word, last word + 1, words matched) of all windows of own[low:high] that cover enough of a template."""
+        n, want, out = len(template), Counter(template), set()
+        least, inside = self.coverage * n, [w in want for w in own[low:high]]
+        step = 1 if n <= FINE else max(1, n // 8)
+        for begin in range(low, high, step):
+            if n <= FINE and not inside[begin - low]:
                 continue
-            # the window as it is, or with room on its sides, whichever covers more
-            tries = []
-            for room in (0, n // 2):
-                a = max(low, low + at - room)
-                tries.append((a, align(own[a : min(high, low + at + width + room)], template)))
-            a, matches = max(tries, key=lambda t: len(t[1]))
-            part = len(matches) / n
-            if part >= self.coverage:
-                first, last = a + matches[0][0], a + matches[-1][0] + 1
-                out.append((first, last, part, name))
-                todo += [(low, first), (last, high)]
-        return out
+            # words of the template that the window holds, in any order
+            here: Counter[str] = Counter()
+            count = 0
+            for end in range(begin + 1, min(high, begin + 2 * n - 1) + 1):
+                w = own[end - 1]
+                if inside[end - 1 - low]:
+                    here[w] += 1
+                    count += here[w] <= want[w]
+                tried = inside[end - 1 - low] if n <= FINE else end - begin in (n, n + n // 4, 2 * n - 1) or end == high
+                if tried and count >= least:
+                    matches = align(own[begin:end], template)
+                    if len(matches) >= least:
+                        out.add((begin + matches[0][0], begin + matches[-1][0] + 1, len(matches)))
+                    if len(matches) == n:
+                        break
+        return sorted(out)
+
+
+def _texts(templates: Templates | DataFrame, name: str = "license", text: str = "text") -> Templates:
+    if not isinstance(templates, DataFrame):
+        return templates
+    rows = templates.select(F.col(name).cast("string"), F.col(text).cast("string")).where(f"{name} IS NOT NULL AND {text} IS NOT NULL")
+    if rows.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0] > TEMPLATE_BYTES:
+        raise ValueError(f"more than {TEMPLATE_BYTES} bytes of license texts")
+    out: dict[str, list[str]] = {}
+    for row in rows.collect():  # TEMPLATE_BYTES
+        out.setdefault(row[0], []).append(row[1])
+    return out
 
 
 def license_scan(
-    docs: DataFrame, templates: Mapping[str, str], key: str = "doc_id", text: str = "text", coverage: float = COVERAGE
+    docs: DataFrame, templates: Templates | DataFrame, key: str = "doc_id", text: str = "text", coverage: float = COVERAGE
 ) -> DataFrame:
     """(``key``, ``license``, ``coverage``, ``start``, ``end``): license texts found, by character places."""
     kept = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("t"))
-    own = dict(templates)
+    own = dict(_texts(templates))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(own, coverage)
