@@ -16,8 +16,8 @@ used as it is.
 
 Defined results: null, empty and blank texts have no features and are scored by the thresholds alone;
 with no toxic or no other row to learn from, all documents have severity 0; labels that
-are null take no part; repeated rows are scored each for itself; rows without an id
-are scored too; tables may be empty; all columns pass through, whatever their names.
+are null take no part; repeated rows are scored each for itself, and rows of one id are one
+labelled row with the words of all of them; rows without an id are scored too; tables may be empty; all columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from rollcall.llm.registry import query, table
 from rollcall.llm.shingles import chunks, words
+from rollcall.session import once
 
 GRADES = 4
 #: Labelled rows that the model is fitted on, at most.
@@ -126,48 +127,55 @@ def fit(row: np.ndarray, column: np.ndarray, grade: np.ndarray, n_features: int,
     return x[:n_features], x[n_features] + np.concatenate(([0.0], np.cumsum(np.exp(x[n_features + 1 :]))))
 
 
-def choose(hashes: np.ndarray, toxic: np.ndarray, n_rows: int, n_toxic: int) -> tuple[np.ndarray, np.ndarray]:
-    """The feature hashes that depend most on the label (sorted), and how much more often
-    each occurs in toxic rows. ``hashes`` holds each feature of a row once, ``toxic`` the row's label.
-
-    Hashes are even, so the label goes into the lowest bit and one sort in place counts both."""
-    tagged = hashes | toxic.astype(np.uint64)
-    tagged.sort()
-    start = np.flatnonzero(np.concatenate(([True], (tagged[1:] ^ tagged[:-1]) > 1))) if len(tagged) else np.zeros(0, np.int64)
-    there = np.diff(np.append(start, len(tagged)))
-    often = np.flatnonzero(there >= LEAST_ROWS)
-    keys, begin, there = tagged[start[often]] & ~np.uint64(1), start[often], there[often]
-    bad = np.searchsorted(tagged, keys, side="right")  # behind the rows that are not toxic
-    bad = there - (bad - begin)
-    share = n_toxic / n_rows
-    z = (bad - there * share) / np.sqrt(there * share * (1 - share) + 1e-9)
-    best = np.sort(np.argsort(-np.abs(z), kind="stable")[:FEATURES])
-    lift = (bad[best] + 0.5) / max(n_toxic, 1) / ((there[best] - bad[best] + 0.5) / max(n_rows - n_toxic, 1))
-    return keys[best], lift
-
-
-def train(texts: list[str | None], toxic: np.ndarray, n_grades: int = GRADES) -> Model | None:
-    """The model of some labelled texts; None if they are all of one kind."""
-    if not len(toxic) or toxic.min() == toxic.max():
+def _row_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k, toxic, t) to (k, toxic, f), a row for each feature of a text."""
+    for batch in batches:
+        for begin, run in chunks(batch.column(2).to_pylist()):
+            found, place = features(run)
+            order = np.lexsort((found, place))
+            found, place = found[order], place[order]
+            new = np.concatenate(([True], (found[1:] != found[:-1]) | (place[1:] != place[:-1]))) if len(found) else np.zeros(0, bool)
+            at = pa.array(place[new] + begin)
+            columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(found[new].view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["k", "toxic", "f"])
+
+
+def _chosen(known: DataFrame, n_rows: int, n_toxic: int) -> DataFrame:
+    """(f, lift): the features that depend most on the label, and how much more often each occurs in toxic rows."""
+    share, there, bad = n_toxic / n_rows, F.col("there"), F.col("bad")
+    z = (bad - there * share) / F.sqrt(there * share * (1 - share) + 1e-9)
+    lift = (bad + 0.5) / n_toxic / ((there - bad + 0.5) / (n_rows - n_toxic))
+    counted = known.groupBy("f").agg(F.count("*").alias("there"), F.sum("toxic").alias("bad")).where(there >= LEAST_ROWS)
+    return counted.orderBy(F.abs(z).desc(), "f").limit(FEATURES).select("f", lift.alias("lift"))
+
+
+def train(rows: DataFrame, n_grades: int = GRADES) -> Model | None:
+    """The model of labelled texts (k, toxic, t); None if they are all of one kind.
+
+    Features are hashed and counted in tasks. What comes to the driver is the label and the kept features of each row,
+    so at most ``SAMPLE`` times ``FEATURES`` small numbers however long the texts are.
+    """
+    # rows that share an id are one: it has the features of all its texts
+    known = once(rows.mapInArrow(_row_features, "k string, toxic int, f bigint").distinct())
+    own = once(rows.select("k", "toxic").distinct())
+    n_rows, n_toxic = own.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if n_toxic in (0, n_rows):
         return None
-    rows, hashes = [], []
-    for begin, run in chunks(texts):
-        found, place = features(run)
-        order = np.lexsort((found, place))
-        found, place = found[order], place[order]
-        new = np.concatenate(([True], (found[1:] != found[:-1]) | (place[1:] != place[:-1]))) if len(found) else np.zeros(0, bool)
-        rows.append((place[new] + begin).astype(np.int32))
-        hashes.append(found[new])
-    row, found = np.concatenate(rows), np.concatenate(hashes)
-    del rows, hashes
-    size = np.bincount(row, minlength=len(toxic))
-    keys, lift = choose(found, toxic[row] > 0, len(toxic), int(toxic.sum()))
-    at = np.minimum(np.searchsorted(keys, found), max(len(keys) - 1, 0)).astype(np.int32)
-    known = keys[at] == found if len(keys) else np.zeros(len(found), bool)
-    del found
-    row, column = row[known], at[known]
+    chosen = _chosen(known, n_rows, n_toxic).toArrow()
+    keys, lift = chosen.column(0).to_numpy().view(np.uint64), chosen.column(1).to_numpy()
     if not len(keys):
         return None
+    order = np.argsort(keys)
+    keys, lift = keys[order], lift[order]
+    numbers = rows.sparkSession.createDataFrame([(int(f), i) for i, f in enumerate(keys.view(np.int64))], "f bigint, c int")
+    held = known.join(F.broadcast(numbers), "f", "left").groupBy("k").agg(F.count("*").alias("size"), F.collect_list("c").alias("c"))
+    none = F.array().cast("array<int>")
+    got = own.join(held, "k", "left").orderBy("k").select("toxic", F.coalesce("size", F.lit(0)).alias("size"), F.coalesce("c", none).alias("c"))
+    got = got.toArrow()  # SAMPLE rows, FEATURES places each
+    toxic, size = got.column("toxic").to_numpy().astype(np.int64), got.column("size").to_numpy()
+    lists = got.column("c").combine_chunks()
+    column = lists.flatten().to_numpy().astype(np.int64)
+    row = np.repeat(np.arange(len(toxic)), np.diff(lists.offsets.to_numpy()))
     # thirds of the toxic rows, by the share of their features that go with toxic rows
     share = np.bincount(row, weights=(lift[column] >= 10).astype(float), minlength=len(toxic)) / np.maximum(size, 1)
     cuts = np.quantile(share[toxic == 1], np.arange(1, n_grades - 1) / (n_grades - 1))
@@ -181,13 +189,12 @@ def fit_model(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     ids = (
         labels.where(F.col(label).isNotNull() & F.col(key).isNotNull())
         .groupBy(F.col(key).alias("k"))
-        .agg(F.max(F.col(label).cast("int")).alias("toxic"))
+        .agg((F.max(F.col(label).cast("int")) > 0).cast("int").alias("toxic"))
         .orderBy(F.xxhash64("k"), "k")
         .limit(SAMPLE)
     )
     rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).join(F.broadcast(ids), "k")
-    got = rows.groupBy("k").agg(F.max("toxic").alias("toxic"), F.max("t").alias("t")).orderBy("k").collect()  # SAMPLE at most
-    return train([r.t for r in got], np.array([min(r.toxic, 1) for r in got], dtype=np.int64))
+    return train(rows.select(F.col("k").cast("string").alias("k"), "toxic", "t"))
 
 
 def score(docs: DataFrame, model: Model | None, text: str = "text", severity: str = "severity", grade: str = "grade") -> DataFrame:

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from rollcall.llm.toxicity import REJECT, fit, fit_model, score
+from rollcall.llm.toxicity import REJECT, RIDGE, fit, fit_model, score
 
 
 def test_cumulative_link_recovers_order():
@@ -48,3 +48,38 @@ def test_nothing_to_learn_from(spark, docs):
     assert fit_model(df, none) is None and fit_model(df, none.limit(0)) is None
     assert {r.severity for r in score(df, None).collect()} == {0.0}
     assert score(docs([]), None).count() == 0
+
+
+def _loss(x, row, column, grade, n_features):
+    """Penalised mean negative log-likelihood, from its definition."""
+    w, theta = x[:n_features], x[n_features] + np.concatenate(([0.0], np.cumsum(np.exp(x[n_features + 1 :]))))
+    scores = np.zeros(len(grade))
+    np.add.at(scores, row, w[column])
+    total = 0.0
+    for s, g in zip(scores, grade, strict=True):
+        below = [0.0, *[1 / (1 + np.exp(-(t - s))) for t in theta], 1.0]
+        total -= np.log(below[g + 1] - below[g])
+    return total / len(grade) + RIDGE / 2 * (w**2).sum()
+
+
+def test_the_fit_is_a_minimum_of_the_likelihood():
+    rng = np.random.default_rng(3)
+    grade = rng.integers(0, 4, 200)
+    pairs = [(i, c) for i, g in enumerate(grade) for c in range(5) if rng.random() < 0.2 + 0.15 * g * (c < 3)]
+    row, column = (np.array(x) for x in zip(*pairs, strict=True))
+    w, theta = fit(row, column, grade, 5, 4)
+    x = np.concatenate([w, theta[:1], np.log(np.diff(theta))])
+    at = _loss(x, row, column, grade, 5)
+    slope = [(_loss(x + d, row, column, grade, 5) - _loss(x - d, row, column, grade, 5)) / 2e-4 for d in np.eye(len(x)) * 1e-4]
+    assert np.abs(slope).max() < 2e-3
+    assert all(_loss(x + rng.normal(0, 0.3, len(x)), row, column, grade, 5) > at for _ in range(20))
+
+
+def test_rows_of_one_id_are_one_labelled_row(spark, docs):
+    rows = [(i, f"good words {i}") for i in range(30)] + [(100 + i, "vile") for i in range(10)] + [(100, "talk")] * 3
+    labels = spark.createDataFrame([(i, 0) for i in range(30)] + [(100 + i, 1) for i in range(10)], "doc_id bigint, toxic int")
+    model = fit_model(docs(rows), labels)
+    again = fit_model(docs(rows, 1), labels)
+    assert (model.keys == again.keys).all() and np.allclose(model.weights, again.weights)
+    got = {r.doc_id: r.severity for r in score(docs(rows), model).collect()}
+    assert got[101] > 0.5 > got[1]
