@@ -17,7 +17,7 @@ of all blocks are merged by rank. Equal vectors have equal projections and are f
 together, so ties break by id as in an exact search.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no
-part, nor do those of another length than most; queries are never their own
+part; vectors of each length are searched among their own; queries are never their own
 candidates; repeated ids are vectors of their own, and are no candidates of queries of the
 same id; fewer candidates than asked for are all returned; tables may be empty; other columns are
 not read, whatever their names.
@@ -139,11 +139,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, n_vectors: int, n_queries: i
     blocks, asks = max(1, -(-n_vectors // BLOCK)), max(1, -(-n_queries // QUERIES))
     own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     asked = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(asks)).cast("int")
-    left = vectors.select("id", "v", own.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(asks - 1))).alias("ask"))
-    right = queries.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), asked.alias("ask"))
+    size = F.size("v").alias("n")  # inner products are of vectors of one length
+    left = vectors.select("id", "v", size, own.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(asks - 1))).alias("ask"))
+    right = queries.select("id", "v", size, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), asked.alias("ask"))
     found = (
-        left.groupBy("block", "ask")
-        .cogroup(right.groupBy("block", "ask"))
+        left.groupBy("n", "block", "ask")
+        .cogroup(right.groupBy("n", "block", "ask"))
         .applyInPandas(_search, "query_id bigint, vec_id bigint, score double")
     )
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
@@ -158,9 +159,5 @@ def nearest(vectors: DataFrame, queries: DataFrame, n_vectors: int, n_queries: i
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest of all vectors for every vector whose id is divisible by 20."""
     rows = usable(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
-    lengths = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    if not lengths:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    rows = rows.where(F.size("v") == lengths[0]["n"])
     asked = rows.where(F.col("id") % 20 == 0)
-    return nearest(rows, asked, lengths[0]["count"], asked.count())
+    return nearest(rows, asked, rows.count(), asked.count())
