@@ -3,6 +3,11 @@
 Every stage is given all rows that the one before it kept, written as Parquet and read
 again, so a lost executor costs one stage at most and plans stay short. All stages but
 the last return the columns of ``documents``.
+
+Defined results: without labels of both kinds no document is toxic, and without a benchmark none is contaminated;
+null and empty texts pass all stages and are packed as one end mark each; rows without an id pass, as they
+can be no one's copy; repeated rows leave one; rows of one id with different texts are judged each by its
+own text, but all go if one of them holds a benchmark passage; no documents, no pieces.
 """
 
 from __future__ import annotations
