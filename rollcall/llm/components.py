@@ -3,7 +3,8 @@
 Alternating large-star and small-star steps (Kiveris et al., "Connected Components in
 MapReduce and Beyond", 2014): every step links nodes to the smallest node seen near them,
 so chains and stars alike shrink in a logarithmic number of rounds. A node with very
-many links never meets them in one task: minima are grouped map-side and joined back.
+many links never meets them in one task: minima are grouped map-side, stored, and joined back by
+a join that adaptive execution can split at such a node.
 """
 
 from __future__ import annotations
@@ -34,10 +35,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         # large star: larger neighbours go to the smallest of the neighbourhood
         near = _both(edges)
-        low = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        low = once(near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         large = near.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # small star: the node and its smaller neighbours go to the smallest
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = once(large)
+        low = once(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         edges = once(small)
