@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from rollcall.columns import col
 
-MAX_FIELDS = 10_000
-
 _TEXT_LIKE_OBJECT = r':\s*"(\{|\\u007[bB])'
 
 
@@ -19,13 +17,10 @@ def first_tag_value(tagged: Column) -> Column:
     return F.get(F.map_values(F.from_json(tagged, "map<string,string>")), F.lit(0))
 
 
-def typed_json_fields(df: DataFrame, line_col: str, limit: int = MAX_FIELDS) -> list[str]:
-    """Names of the fields that occur, sorted; an error beyond ``limit``."""
+def typed_json_fields(df: DataFrame, line_col: str) -> list[str]:
+    """Names of the fields that occur, sorted. They become columns, so there is no limit but that of a table."""
     keys = F.json_object_keys(col(line_col))
-    names = df.select(F.explode(keys).alias("key")).distinct().limit(limit + 1).collect()
-    if len(names) > limit:
-        raise ValueError(f"more than {limit} fields")
-    return sorted(row.key for row in names)
+    return sorted(row.key for row in df.select(F.explode(keys).alias("key")).distinct().collect())
 
 
 def flatten_typed_json(
@@ -36,6 +31,9 @@ def flatten_typed_json(
     An object gives the value under its first tag, an empty object nothing, any
     other value its text. Rows stay where they are: no shuffle. Name the fields
     to spare the pass that finds them.
+
+    Lines are read as maps, which keep tags in the order written; of a repeated name the first value counts. A VARIANT
+    would sort the tags, write numbers anew and refuse lines with repeated names.
     """
     names = typed_json_fields(df, line_col) if fields is None else list(fields)
     line = col(line_col)

@@ -1,4 +1,5 @@
 import gzip
+import json
 import os
 import random
 
@@ -286,3 +287,11 @@ def test_row_numbers_at_two_partition_counts(spark, put, n):
         assert all(int(r.k) == r._row_ord for r in df.collect())
     finally:
         spark.conf.unset("spark.sql.files.minPartitionNum")
+
+
+def test_typed_json_of_many_fields(spark):
+    fields = {f"f{i:05}": {"S": str(i)} for i in range(1200)}
+    df = spark.createDataFrame([(json.dumps(fields),), ('{"f00001":{"S":"x"},"f00001":{"S":"y"}}',)], "line string")
+    flat = flatten_typed_json(df, "line")
+    assert len(flat.columns) == 1200 and flat.columns == sorted(fields)
+    assert rows(flat, "f00000", "f00001", "f01199") == sorted([("0", "1", "1199"), (None, "x", None)], key=repr)
