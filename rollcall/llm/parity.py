@@ -131,26 +131,35 @@ def fold(whole: np.ndarray, longs: int) -> np.ndarray:
     return np.bitwise_xor.reduce(whole.reshape(-1, longs), axis=0)
 
 
+#: Postings of one output batch.
+BATCH_POSTINGS = 1 << 18
+
+
 def _postings(words: int, percent: int):
     """(node, text) to (node, n, need, tok): all block keys of each band, and how many must be shared."""
     bands = Bands(percent)
 
+    def listed(rows: list[tuple[int, int, int]], toks: list[np.ndarray]) -> pa.RecordBatch:
+        each = np.repeat(np.array(rows, dtype=np.int64), [len(t) for t in toks], axis=0)
+        columns = [*each.T, np.concatenate(toks).view(np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["node", "n", "need", "tok"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, toks, size = [], [], 0
         for batch in batches:
-            rows, times, toks = [], [], []
             for node, own in zip(batch.column(0).to_pylist(), _sets(batch.column(1), words), strict=True):
                 if not bands.differ(len(own)):  # only equal sets are near, and those are one class
                     continue
                 for band in bands.both(len(own)):
                     blocks = bands.blocks(band)
                     rows.append((node, len(own), blocks - bands.differ(len(own), band)))
-                    times.append(blocks)
                     toks.append(block_keys(own, band, blocks))
-            if rows:
-                each = np.repeat(np.array(rows, dtype=np.int64), times, axis=0)
-                columns = [*each.T, np.concatenate(toks).view(np.int64)]
-                for i in range(0, len(each), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)]) for c in columns], names=["node", "n", "need", "tok"])
+                    size += blocks
+                    if size >= BATCH_POSTINGS:
+                        yield listed(rows, toks)
+                        rows, toks, size = [], [], 0
+        if rows:
+            yield listed(rows, toks)
 
     return run
 

@@ -31,6 +31,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 from math import isqrt
 
 import pandas as pd
@@ -201,29 +202,43 @@ def _entries(pieces: pd.DataFrame) -> pd.DataFrame:
     return pieces[["start"]].assign(entry=entries)
 
 
+#: Edits of one output batch; a few pieces of long conversations fill it.
+BATCH_EDITS = 1 << 16
+ROLES = {"u": "user", "a": "assistant", "-": None}
+
+
 def _repairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(conv, start, codes, entry, tail, base, last) to (conv, start, cost, edits of each place)."""
     costs = Costs()
-    kind = pa.struct([("edit", pa.string()), ("role", pa.string()), ("at", pa.int64())])
     for batch in batches:
-        cost, rows = [], []
-        for start, codes, entry, tail, base, last in zip(*[batch.column(i).to_pylist() for i in range(1, 7)], strict=True):
+        columns = [batch.column(i).to_pylist() for i in range(1, 7)]
+        begin, cost, sizes, flat = 0, [], [], ([], [], [])
+        for row, (start, codes, entry, tail, base, last) in enumerate(zip(*columns, strict=True)):
             total, edits, roles, q = costs.forward(codes, entry or EMPTY, END if tail is None else tuple(tail))
-            cost.append(total + (base or 0))
-            out = [
-                {"edit": e, "role": {"u": "user", "a": "assistant"}.get(r), "at": None if e == "I" else start + i}
-                for i, (es, rs) in enumerate(zip(edits, roles, strict=True))
-                for e, r in zip(es, rs, strict=True)
-            ]
+            before = len(flat[0])
+            for i, (es, rs) in enumerate(zip(edits, roles, strict=True)):
+                flat[0].extend(es)
+                flat[1].extend(ROLES[r] for r in rs)
+                flat[2].extend(None if e == "I" else start + i for e in es)
             if last is not False:  # turns put in behind the last one
                 while q not in (EMPTY, ASSISTANT):
-                    out.append({"edit": "I", "role": {"u": "user", "a": "assistant"}[NEXT_ROLE[q]], "at": None})
+                    for column, value in zip(flat, ("I", ROLES[NEXT_ROLE[q]], None), strict=True):
+                        column.append(value)
                     q = NEXT_STATE[q]
-            rows.append(out)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(cost, pa.int64()), pa.array(rows, pa.list_(kind))],
-            names=["conv", "start", "cost", "edits"],
-        )
+            cost.append(total + (base or 0))
+            sizes.append(len(flat[0]) - before)
+            if len(flat[0]) >= BATCH_EDITS:
+                yield _repaired(batch.slice(begin, row + 1 - begin), cost, sizes, flat)
+                begin, cost, sizes, flat = row + 1, [], [], ([], [], [])
+        yield _repaired(batch.slice(begin), cost, sizes, flat)
+
+
+def _repaired(rows: pa.RecordBatch, cost: list[int], sizes: list[int], flat: tuple[list, list, list]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.string(), pa.int64())
+    edits = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(flat, kinds, strict=True)], names=["edit", "role", "at"])
+    offsets = pa.array([0, *accumulate(sizes)], pa.int32())
+    columns = [rows.column(0), rows.column(1), pa.array(cost, pa.int64()), pa.ListArray.from_arrays(offsets, edits)]
+    return pa.RecordBatch.from_arrays(columns, names=["conv", "start", "cost", "edits"])
 
 
 BLANKS = r"\x20\x09-\x0D"

@@ -83,3 +83,30 @@ def test_nulls_copies_and_other_columns(docs):
 
 def test_empty_table(docs):
     assert dedup_lines(docs([])).count() == 0
+
+
+def test_hot_rows_are_split_where_they_meet_an_aggregate(spark, docs, monkeypatch):
+    """Rows without id and text, and a gram that very many documents hold: every join to an aggregate is over a stored one."""
+    from rollcall.operators import joins
+    from tests.conftest import plan
+
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
+    settings = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2000",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2000",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    }
+    passage = "\n".join(prose(900 + i, 12) for i in range(6))
+    rows = [(i, prose(i, 30) + "\n" + passage) for i in range(60)] + [(None, None)] * 60_000
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        out = dedup_lines(docs(rows, 12), count="gone")
+        found = out.collect()
+        assert sum(r.gone == 6 for r in found) == 59 and len(found) == 60_060
+        assert "skew=true" in plan(out)
+    finally:
+        for key in settings:
+            spark.conf.unset(key)

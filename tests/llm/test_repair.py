@@ -112,6 +112,22 @@ def test_pieces_of_one_long_conversation_make_one_repair(spark):
     assert got == results(df, repair(df)) == brute(rows, harm=False)
 
 
+def test_output_batches_are_small(monkeypatch):
+    import pyarrow as pa
+
+    from rollcall.llm import repair as r
+
+    monkeypatch.setattr(r, "BATCH_EDITS", 5)
+    pieces = [[1, 2, 3], [0, 10, 20], ["ua", "uuu", "a"], *[[None] * 3] * 4]
+    names = ["conv", "start", "codes", "entry", "tail", "base", "last"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.int64()), pa.int64(), pa.bool_()]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(pieces, kinds, strict=True)], names=names)
+    out = [x for b in r._repairs(iter([batch])) for x in b.to_pylist()]
+    got = [(x["conv"], x["cost"], "".join(e["edit"] for e in x["edits"])) for x in out]
+    assert got == [(1, 0, "KK"), (2, 6, "KIKR"), (3, 3, "IK")]
+    assert [len(b.to_pylist()) for b in r._repairs(iter([batch]))] == [2, 1]
+
+
 def test_checkpoints_do_not_change_the_walk():
     rng, costs = random.Random(9), Costs()
     for n in (0, 1, 2, 3, 50, 401):
