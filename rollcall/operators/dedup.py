@@ -134,6 +134,7 @@ def id_stats(
             lambda entry: entry["id"],
         ).alias("ids")
     )
+    # The names of the figures.
     return ids.agg(
         total.alias("totalRows"),
         unique.alias("uniqueResponseIds"),

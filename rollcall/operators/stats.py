@@ -66,6 +66,7 @@ def participation_stats(daily: DataFrame, totals: DataFrame) -> DataFrame:
         F.first("least", ignorenulls=True).alias("least"),
     )
     zero = F.lit(0)
+    # The names of the figures.
     return both.select(
         F.coalesce(col("people"), zero).alias("totalParticipants"),
         _mean("entries", "people").alias("avgEntriesPerParticipant"),
