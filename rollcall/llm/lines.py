@@ -178,8 +178,9 @@ def dedup_lines(
 ) -> DataFrame:
     """``docs`` with repeated runs of lines taken out of ``text``; ``count`` names an extra
     column for the number of lines that went."""
-    # stored, so that rows that share a key (those without id and text) can be split when they meet it
-    gone = once(repeated_lines(docs, key, text, gram_words, run_words)).alias("g")
+    # stored, so that rows that share a key (those without id and text) can be split when they meet it; shuffled at every
+    # size, as what goes grows with the documents
+    gone = once(repeated_lines(docs, key, text, gram_words, run_words)).hint("merge").alias("g")
     rows = docs.select(
         F.struct("*").alias("row"), F.col(key).alias("k"), F.xxhash64(F.col(text).cast("string")).alias("h")
     ).alias("d")
